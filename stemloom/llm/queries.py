@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from stemloom.llm import packing
+from stemloom.llm import packing, quality
 
 QUERIES = {
     "op2_drr_packing": packing.pack_query,
+    "op10_quality_rules": quality.quality_query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op10_quality_rules": quality.quality_sql(),
+}
