@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from stemloom.llm import packing, quality
+from stemloom.llm import packing, quality, simhash
 
 QUERIES = {
     "op2_drr_packing": packing.pack_query,
+    "op8_simhash_trie": simhash.simhash_query,
     "op10_quality_rules": quality.quality_query,
 }
 
 SQL: dict[str, str] = {
+    "op8_simhash_trie": simhash.simhash_query,
     "op10_quality_rules": quality.quality_sql(),
 }
