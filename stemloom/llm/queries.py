@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from stemloom.llm import packing, quality, secret_scan, simhash
+from stemloom.llm import packing, quality, secret_scan, simhash, token_lengths
 
 QUERIES = {
     "op2_drr_packing": packing.pack_query,
     "op4_secret_entropy": secret_scan.secrets_query,
+    "op7_token_lengths": token_lengths.lengths_query,
     "op8_simhash_trie": simhash.simhash_query,
     "op10_quality_rules": quality.quality_query,
 }
 
 SQL: dict[str, str] = {
     "op4_secret_entropy": secret_scan.secrets_query,
+    "op7_token_lengths": token_lengths.lengths_query,
     "op8_simhash_trie": simhash.simhash_query,
     "op10_quality_rules": quality.quality_sql(),
 }
