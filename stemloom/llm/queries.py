@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from stemloom.llm import ann, packing, quality, secret_scan, simhash, token_lengths, warc
+from stemloom.llm import ann, html_extract, packing, quality, secret_scan, simhash, token_lengths, warc
 
 QUERIES = {
     "op1_warc_normalise": warc.warc_query,
     "op2_drr_packing": packing.pack_query,
     "op3_learned_partitions": ann.ann_query,
     "op4_secret_entropy": secret_scan.secrets_query,
+    "op5_html_subsequence": html_extract.extract_query,
     "op7_token_lengths": token_lengths.lengths_query,
     "op8_simhash_trie": simhash.simhash_query,
     "op10_quality_rules": quality.quality_query,
@@ -18,6 +19,7 @@ SQL: dict[str, str] = {
     "op1_warc_normalise": warc.WARC_SQL,
     "op3_learned_partitions": ann.ann_query,
     "op4_secret_entropy": secret_scan.secrets_query,
+    "op5_html_subsequence": html_extract.extract_query,
     "op7_token_lengths": token_lengths.lengths_query,
     "op8_simhash_trie": simhash.simhash_query,
     "op10_quality_rules": quality.quality_sql(),
