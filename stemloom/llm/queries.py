@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stemloom.llm import ann, html_extract, packing, quality, secret_scan, simhash, token_lengths, warc
+from stemloom.llm import ann, html_extract, mixing, packing, quality, secret_scan, simhash, token_lengths, warc
 
 QUERIES = {
     "op1_warc_normalise": warc.warc_query,
@@ -12,10 +12,12 @@ QUERIES = {
     "op5_html_subsequence": html_extract.extract_query,
     "op7_token_lengths": token_lengths.lengths_query,
     "op8_simhash_trie": simhash.simhash_query,
+    "op9_ipf_mixing": mixing.mixing_query,
     "op10_quality_rules": quality.quality_query,
 }
 
 SQL: dict[str, str] = {
+    "op9_ipf_mixing": mixing.mixing_sql(),
     "op1_warc_normalise": warc.WARC_SQL,
     "op3_learned_partitions": ann.ann_query,
     "op4_secret_entropy": secret_scan.secrets_query,
