@@ -252,12 +252,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, least_recall: fl
                     best = np.argsort(-s, axis=1, kind="stable")[:, :k] if len(ids) <= 4 * k else _best(s, k)
                     val = np.take_along_axis(s, best, 1)
                     keep = val > -np.inf
-                    yield pa.record_batch([pa.array(np.repeat(vec[at : at + QUERIES], keep.sum(1))), pa.array(ids[best][keep]), pa.array(val[keep])], names=["query_id", "vec_id", "score"])
+                    ends = np.r_[0, np.cumsum(keep.sum(1))].astype(np.int32)
+                    lists = lambda x: pa.ListArray.from_arrays(pa.array(ends), pa.array(x))
+                    yield pa.record_batch([pa.array(vec[at : at + QUERIES]), lists(ids[best][keep]), lists(-val[keep])], names=["query_id", "ids", "s"])
 
     kinds = dict(rows.dtypes)["vec_id"]
-    found = both.repartition("g").sortWithinPartitions("g", "q").mapInArrow(ranked, f"query_id {dict(asked.dtypes)['vec_id']}, vec_id {kinds}, score double")
-    # At most (probes x blocks x k) rows a query meet here; queries are dealt out by their ids.
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
+    found = both.repartition("g").sortWithinPartitions("g", "q").mapInArrow(ranked, f"query_id {dict(asked.dtypes)['vec_id']}, ids array<{kinds}>, s array<double>")
+    # A row a query and block, of k candidates each: (probes x blocks) rows of a query meet here.
+    best = F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("s", F.col("ids").alias("vec_id"))))), 1, k)
     top = found.groupBy("query_id").agg(best.alias("b")).select("query_id", F.posexplode("b").alias("p", "b"))
     return top.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), "b.vec_id", (-F.col("b.s")).alias("score"))
 
