@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
-_SPACES = " \t\n\x0b\f\r"
+_BLANKS = r"[\x20\x09-\x0D]+"
 _SYMBOLS = "#*$%&|<>"
 _EDGES = ".,;:!?\"()"
+#: So many repeated windows are looked for one by one.
+FEW = 48
 
 #: Frequent function words of the corpus's languages; a running text holds some of them.
 STOP_WORDS = tuple(
@@ -50,31 +52,44 @@ RULES = (
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "n_upper", "n_letters", "n_bullet_lines", "n_ellipsis_lines")
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` as a column ``_row`` beside the counts of each whole text (null: no words)."""
-    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_t"))
-    lines = F.filter(F.split("_t", "\n", -1), lambda x: F.length(F.translate(x, _SPACES, "")) > 0)
-    d = d.select("_row", "_t", F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)).alias("_w"), lines.alias("_l"))
-    d = d.select("*", F.expr("CASE WHEN size(_w) > 3 THEN transform(sequence(0, size(_w) - 3), i -> concat_ws(' ', _w[i], _w[i + 1], _w[i + 2])) END").alias("_s"))
-    d = d.select("*", F.expr("transform(_s, x -> xxhash64(x))").alias("_h"))
-    # Only a text that repeats a window sorts its windows (by two hashes, 96 bits in all); equal ones are then neighbours.
-    ordered = "array_sort(transform(_s, (x, i) -> struct(_h[i] AS h, hash(x) AS g, i AS i)))"
-    d = d.select("*", F.expr(f"CASE WHEN size(array_distinct(_h)) < size(_h) THEN {ordered} END").alias("_o"))
+def _starts(x: Column, *heads: str) -> Column:
+    return reduce(Column.__or__, (x.startswith(h) for h in heads))
+
+
+def _ends(x: Column, *tails: str) -> Column:
+    return reduce(Column.__or__, (x.endswith(t) for t in tails))
+
+
+def measured(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``carry``) as a column ``_row`` beside the counts of each whole text (null: no words)."""
+    held = docs.columns if carry is None else carry
+    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in held)).alias("_row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_t"))
+    # Between runs of blanks lie the words, and an empty string before or behind blanks at the ends.
+    d = d.select("_row", "_t", F.array_remove(F.split("_t", _BLANKS, -1), "").alias("_w"), F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(WORD)).alias("_l"))
+    window = "_w[{0}], _w[{0} + 1], _w[{0} + 2]"
+    d = d.select("*", F.expr(f"CASE WHEN size(_w) > 3 THEN transform(sequence(0, size(_w) - 3), i -> xxhash64({window.format('i')})) END").alias("_h"))
+    # Only a text that repeats a window looks for its places: those of a few hashes by search, of many by
+    # sorting all. Windows of equal hashes (two of them, 96 bits in all) are then neighbours.
+    d = d.select("*", F.expr("CASE WHEN size(array_distinct(_h)) < size(_h) THEN sort_array(_h) END").alias("_x"))
+    d = d.select("*", F.expr("array_distinct(filter(_x, (x, k) -> x <=> get(_x, k + 1)))").alias("_twice"))
+    places = f"CASE WHEN size(_twice) <= {FEW} THEN filter(sequence(0, size(_h) - 1), i -> array_contains(_twice, _h[i])) ELSE sequence(0, size(_h) - 1) END"
+    d = d.select("*", F.expr(f"CASE WHEN _twice IS NOT NULL THEN sort_array(transform({places}, i -> struct(_h[i] AS h, hash({window.format('i')}) AS g, i AS i))) END").alias("_o"))
     twin = "coalesce(get(_o, {0}).h = x.h AND get(_o, {0}).g = x.g, false)"
     marked = f"transform(filter(_o, (x, k) -> {twin.format('k - 1')} OR {twin.format('k + 1')}), x -> array(x.i, x.i + 1, x.i + 2))"
-    stops = F.filter(F.split(F.lower(F.translate(F.array_join("_w", " "), _EDGES, "")), " ", -1), lambda x: x.isin(*STOP_WORDS))
+    stops = F.filter(F.split(F.lower(F.regexp_replace(F.array_join("_w", " "), F.lit(f"[{_EDGES}]+"), F.lit(""))), " ", -1), lambda x: x.isin(*STOP_WORDS))
+    within = lambda letters: F.length("_t") - F.length(F.regexp_replace("_t", F.lit(f"{letters}+"), F.lit("")))
     counted = {
         "n_words": F.size("_w"),
-        "word_chars": F.length(F.translate("_t", _SPACES, "")),
-        "n_symbols": F.length("_t") - F.length(F.translate("_t", _SYMBOLS, "")),
+        "word_chars": F.length(F.array_join("_w", "")),
+        "n_symbols": within(f"[{_SYMBOLS}]"),
         "n_dup_lines": F.size("_l") - F.size(F.array_distinct("_l")),
         "n_repeat_words": F.expr(f"CASE WHEN _o IS NULL THEN 0 ELSE size(array_distinct(flatten({marked}))) END"),
         "n_lines": F.size("_l"),
         "n_stop_words": F.size(stops),
-        "n_upper": F.regexp_count("_t", F.lit(r"\p{Lu}")),
-        "n_letters": F.regexp_count("_t", F.lit(r"\p{L}")),
-        "n_bullet_lines": F.size(F.filter("_l", lambda x: x.rlike(r"^[ \t]*[-*•‣◦]"))),
-        "n_ellipsis_lines": F.size(F.filter("_l", lambda x: x.rlike(r"(\.\.\.|…)[ \t\r]*$"))),
+        "n_upper": within(r"\p{Lu}"),
+        "n_letters": within(r"\p{L}"),
+        "n_bullet_lines": F.size(F.filter("_l", lambda x: _starts(F.ltrim(x, F.lit(" \t")), *"-*•‣◦"))),
+        "n_ellipsis_lines": F.size(F.filter("_l", lambda x: _ends(F.rtrim(x, F.lit(" \t\r")), "...", "…"))),
     }
     return d.select("_row", *(c.cast("long").alias(f"_{n}") for n, c in counted.items()))
 
@@ -106,7 +121,7 @@ def failures(rules: tuple[Rule, ...] = RULES) -> Column:
     return F.concat_ws(",", *broken)
 
 
-def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: list[str] | None = None) -> DataFrame:
     """Every document with its counts, ``base_failed``, ``failed_rules`` and ``kept``, in one projection.
 
     A null or empty text has no words and fails. Nulls elsewhere, repeated rows and ids, and extra
@@ -114,12 +129,12 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     there are no ties. Very long texts are judged whole. An empty table gives no rows."""
     n, r = F.col("_n_words"), F.col("_n_repeat_words")
     base = (n < 50) | (F.lit(100) * r > F.lit(50) * n)
-    d = measured(docs).select("*", base.alias("_base_failed"), failures(rules).alias("_failed_rules"))
+    d = measured(docs, carry=carry).select("*", base.alias("_base_failed"), failures(rules).alias("_failed_rules"))
     return d.select("*", (~F.col("_base_failed") & (F.col("_failed_rules") == "")).alias("_kept"))
 
 
 def quality_query(spark, sf_dir: str) -> DataFrame:
-    d = judge(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    d = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), carry=["doc_id"])
     return d.select("_row.doc_id", *(F.col(f"_{c}").alias(c) for c in (*MEASURES[:5], "base_failed", "kept", "failed_rules")))
 
 
