@@ -130,7 +130,9 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: list[str] | N
     n, r = F.col("_n_words"), F.col("_n_repeat_words")
     base = (n < 50) | (F.lit(100) * r > F.lit(50) * n)
     d = measured(docs, carry=carry).select("*", base.alias("_base_failed"), failures(rules).alias("_failed_rules"))
-    return d.select("*", (~F.col("_base_failed") & (F.col("_failed_rules") == "")).alias("_kept"))
+    # A filter on the verdict must not be pushed below the projections: it would take their nested
+    # expressions along, each as often as it is used. A test that is not deterministic, and always true, holds it.
+    return d.select("*", (~F.col("_base_failed") & (F.col("_failed_rules") == "") & (F.spark_partition_id() >= 0)).alias("_kept"))
 
 
 def quality_query(spark, sf_dir: str) -> DataFrame:
@@ -139,12 +141,8 @@ def quality_query(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents that the rules keep, with their own columns.
-
-    The filter must not be pushed below the projections: it would take their nested expressions
-    along, each as often as it is used. A test that is not deterministic, and always true, holds it."""
-    d = judge(docs, rules).select("_row", (F.col("_kept") & (F.spark_partition_id() >= 0)).alias("_kept"))
-    return d.where("_kept").select("_row.*")
+    """The documents that the rules keep, with their own columns."""
+    return judge(docs, rules).where("_kept").select("_row.*")
 
 
 def quality_sql(rules: tuple[Rule, ...] = RULES) -> str:
