@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,7 +33,7 @@ class Params:
         """The caller's list: the first ``stop_words`` distinct entries; None asks for the corpus's own."""
         if self.stop_list is None or not self.stop_list.strip():
             return None
-        parts = self.stop_list.replace(", ", ",,").replace(" ", ",").split(",") if ", " in self.stop_list else self.stop_list.replace(" ", ",").split(",")
+        parts = re.split(r",| ", self.stop_list)
         while parts and not parts[-1]:
             parts.pop()
         return list(dict.fromkeys(parts))[: self.stop_words]

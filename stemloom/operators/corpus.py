@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stemloom.functions import text as T
@@ -153,3 +153,48 @@ def upsert(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFram
     for c in on[1:]:
         cond = cond & c
     return current.join(new, cond, "left_anti").unionByName(incoming)
+
+
+def index_search(metrics: DataFrame, patterns: list[str], n: int = 100) -> DataFrame:
+    """The first ``n`` paths, by name, that any of the regular expressions finds, in any case."""
+    hit = F.lit(False)
+    for x in patterns:
+        hit = hit | F.col("path").rlike(f"(?i){x}")
+    return metrics.where(hit).select("path").distinct().orderBy("path").limit(n)
+
+
+def name_search(df: DataFrame, column: str, query: str) -> DataFrame:
+    """Rows whose name holds every word of the query."""
+    for w in query.lower().split():
+        df = df.where(F.lower(column).contains(w))
+    return df
+
+
+def tree_children(metrics: DataFrame, prefix: str) -> DataFrame:
+    """(node, is_leaf): the next level of the dotted tree below ``prefix``, branches and leaves apart."""
+    depth = len(prefix.split(".")) if prefix else 0
+    below = metrics.where(F.col("path").startswith(prefix + ".")) if prefix else metrics
+    parts = F.split("path", r"\.")
+    return below.select(F.get(parts, F.lit(depth)).alias("node"), (F.size(parts) == depth + 1).alias("is_leaf")).distinct()
+
+
+def ring_nodes(keys: DataFrame, nodes: list[str], replicas: int = 100) -> DataFrame:
+    """(key, node) on a consistent-hash ring: the node of the first replica at or after the key's place.
+
+    The ring is a table of at most 65 536 places; a key finds its node by an equality join on its place."""
+    spark = keys.sparkSession
+    place = lambda c: F.conv(F.substring(F.md5(c), 1, 4), 16, 10).cast("long")
+    ring = spark.createDataFrame([(n,) for n in nodes], "node string").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))))
+    ring = ring.groupBy(place(F.concat_ws(":", "node", F.col("i").cast("string"))).alias("at")).agg(F.min("node").alias("node"))
+    first = ring.agg(F.min_by("node", "at").alias("first"))
+    w = Window.orderBy("at").rowsBetween(0, Window.unboundedFollowing)
+    places = spark.range(0, 1 << 16).withColumnRenamed("id", "at").join(ring, "at", "left")
+    places = places.select("at", F.first("node", True).over(w).alias("node")).crossJoin(F.broadcast(first))  # one row
+    return keys.withColumn("at", place(F.col("key"))).join(F.broadcast(places), "at").select("key", F.coalesce("node", "first").alias("node"))
+
+
+def unescape_html(c: Column) -> Column:
+    """The named references of markup as characters, and no control characters."""
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("amp", "&")):
+        c = F.replace(c, F.lit(f"&{name};"), F.lit(char))
+    return F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
