@@ -187,9 +187,9 @@ def ring_nodes(keys: DataFrame, nodes: list[str], replicas: int = 100) -> DataFr
     ring = spark.createDataFrame([(n,) for n in nodes], "node string").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))))
     ring = ring.groupBy(place(F.concat_ws(":", "node", F.col("i").cast("string"))).alias("at")).agg(F.min("node").alias("node"))
     first = ring.agg(F.min_by("node", "at").alias("first"))
-    w = Window.orderBy("at").rowsBetween(0, Window.unboundedFollowing)
+    w = Window.orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0)
     places = spark.range(0, 1 << 16).withColumnRenamed("id", "at").join(ring, "at", "left")
-    places = places.select("at", F.first("node", True).over(w).alias("node")).crossJoin(F.broadcast(first))  # one row
+    places = places.select("at", F.last("node", True).over(w).alias("node")).crossJoin(F.broadcast(first))  # one row
     return keys.withColumn("at", place(F.col("key"))).join(F.broadcast(places), "at").select("key", F.coalesce("node", "first").alias("node"))
 
 
