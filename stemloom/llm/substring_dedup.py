@@ -314,7 +314,8 @@ def repeated_runs(texts: DataFrame, root: str, length: int, scratch: Scratch) ->
     runs = texts.where("size(code) > 0").select("file", F.explode(F.arrays_zip("code", "anchor", "whole")).alias("r")).select("file", "r.*")
     # Anchors that occur twice or more, and whether all their runs are of one kind.
     met = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b"))
-    met = met.where("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed"))
+    # Written, so that the join below deals both of its sides anew and Spark can split a hot anchor's rows.
+    met = scratch.write(met.where("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "met")
     again = scratch.write(runs.join(met, "anchor"), "again")
     mixed = again.where("mixed")
     kinds = scratch.write(mixed.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("file", "code")).alias("r")), "kinds")
@@ -344,7 +345,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kept
     root = scratch.path("bytes")
     texts = scratch.write(write_texts(docs, root, length, gram), "texts")
     found = scratch.write(repeated_runs(texts, root, length, scratch), "found")
-    scratch.drop("again", "kinds", "windows")
+    scratch.drop("met", "again", "kinds", "windows")
     # A document's own runs meet here, and no others.
     spans = found.groupBy("file", "seq").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("s"))
     rows = texts.select("file", "seq", "doc_id", "n_bytes", "sha256").join(spans, ["file", "seq"], "left")
