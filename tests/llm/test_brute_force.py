@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from stemloom.llm import ann, html_extract, mixing, packing, quality, secret_scan, simhash, substring_dedup, token_lengths, tokenizing, warc
+from stemloom.llm import ann, html_extract, mixing, packing, quality, secret_scan, simhash, similar, substring_dedup, token_lengths, tokenizing, warc
 from stemloom.scratch import Scratch
 
 SF = "/root/testdata/sf0.001"
@@ -447,3 +447,86 @@ def test_pipeline(spark):
     ids = {i: [*x, 1] for (i, _), x in zip(sorted(kept[3].items()), plain_ids([t for _, t in sorted(kept[3].items())]))}
     want = collections.defaultdict(list, {i: [x] for i, x in ids.items()})
     check_pieces(now.collect(), want, 2048)
+
+
+def plain_shingles(text):
+    parts = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(parts[i : i + 5]) for i in range(max(1, len(parts) - 4))} if parts else set()
+
+
+def test_near_dedup_stage_finds_similarity(spark):
+    """Against brute force: nothing below 0.8 is linked, and of the pairs at 0.8 or more nearly all are."""
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{SF[:-5]}0.01/documents.parquet")
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(5000)]
+    made = []
+    for k in range(150):  # one word replaced touches five shingles of each
+        base = list(rng.choice(words, 200))
+        copy = list(base)
+        for at in range(int(rng.integers(0, 20)), 200, int(rng.integers(40, 70))):
+            copy[at] = "changed"
+        made += [(10**9 + 2 * k, " ".join(base)), (10**9 + 2 * k + 1, " ".join(copy))]
+    made += [(2 * 10**9, "only four words here"), (2 * 10**9 + 1, "Only  four words HERE"), (2 * 10**9 + 2, None), (2 * 10**9 + 3, " "), (None, "kept"), (None, "kept")]
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + made
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("clash"))
+    rows = [r for r in rows if r[0] is not None]
+    sets = [plain_shingles(t) for _, t in rows]
+    by = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            by[x].append(i)
+    both = Counter()
+    for ids in by.values():
+        both.update((i, j) for n, i in enumerate(ids) for j in ids[n + 1 :])
+    share = {(i, j): n / (len(sets[i]) + len(sets[j]) - n) for (i, j), n in both.items()}
+    near = {p: s for p, s in share.items() if s >= 0.8}
+    got = {r.doc_id: r.component_id for r in similar.similar_texts(d).collect()}
+    assert set(got) == {i for i, _ in rows}
+    hit = [got[rows[i][0]] == got[rows[j][0]] for i, j in near]
+    low = [got[rows[i][0]] == got[rows[j][0]] for (i, j), s in near.items() if s < 0.9]
+    print(f"recall {sum(hit)} of {len(hit)}, below 0.9 {sum(low)} of {len(low)}")
+    assert len(low) > 50 and sum(low) >= 0.97 * len(low) and sum(hit) >= 0.98 * len(hit)
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    blank = [i for i, s in enumerate(sets) if not s]
+    for i, j in [*near, *zip(blank, blank[1:])]:
+        x, y = top(i), top(j)
+        root[max(x, y)] = min(x, y)
+    parts = defaultdict(set)
+    for i, (k, _) in enumerate(rows):
+        parts[got[k]].add(top(i))
+    assert all(len(p) == 1 for p in parts.values())
+    kept = [r.doc_id for r in P.near_dedup_stage(spark, d, SF).collect()]
+    assert sorted(x for x in kept if x is not None) == sorted({c for c in got.values()}) and kept.count(None) == 2
+
+
+def test_pipeline_by_similarity(spark):
+    """The whole pipeline, its near-duplicates by brute-force Jaccard of five-word shingles."""
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    now, kept = docs, []
+    for k, (_, stage) in enumerate(P.STAGES):
+        now = Scratch(spark, "t").write(stage(spark, now, SF), f"s{k}")
+        if k < len(P.STAGES) - 1:
+            assert now.columns == docs.columns
+            kept.append({r.doc_id: r.text for r in now.select("doc_id", "text").collect()})
+    first = sorted(kept[0])
+    sets = {i: plain_shingles(kept[0][i]) for i in first}
+    root = {i: i for i in first}
+    for n, i in enumerate(first):
+        for j in first[n + 1 :]:
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                x, y = root[i], root[j]
+                root |= {k: min(x, y) for k, r in root.items() if r in (x, y)}
+    assert set(kept[1]) == set(root.values())
+    assert set(kept[2]) == set(kept[1]) and set(kept[3]) <= set(kept[2])
+    ids = {i: [*x, 1] for (i, _), x in zip(sorted(kept[3].items()), plain_ids([t for _, t in sorted(kept[3].items())]))}
+    check_pieces(now.collect(), collections.defaultdict(list, {i: [x] for i, x in ids.items()}), 2048)
