@@ -174,12 +174,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, least_recall: fl
 
     vectors, queries: (vec_id, embedding), all vectors of one length. A query's own vec_id is left
     out. Rows without an id, or whose vector is null, zero or not finite, take no part. Ties go to
-    the smaller vec_id; repeated rows are candidates each. With k or fewer other rows all are
+    the smaller vec_id; repeated rows are candidates each, and repeated query rows get their k each. With k or fewer other rows all are
     returned; an empty table gives no rows; other columns are not read."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
     rows = scratch.write(usable(vectors), "rows")
-    asked = scratch.write(usable(queries), "asked")
+    # Each query row has a number of its own: a repeated one is searched for, and answered, by itself.
+    asked = scratch.write(usable(queries).withColumn("row", F.monotonically_increasing_id()), "asked")
     n = rows.count()
     picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()["v"]
     if not len(picked):
@@ -190,24 +191,24 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, least_recall: fl
     shared = spark.sparkContext.broadcast(router)  # one hidden layer: its size is fixed by the sample's bound
     probes = router.probes
 
-    def routed(many: int):
+    def routed(many: int, names: list[str]):
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if len(batch):
                     x = np.stack(batch.column("v").to_numpy(zero_copy_only=False))
                     found = shared.value.parts(x, many)
                     at = np.repeat(np.arange(len(batch)), found.shape[1])
-                    yield pa.record_batch([batch.column("vec_id").take(pa.array(at)), batch.column("v").take(pa.array(at)), pa.array(found.ravel().astype(np.int32))], names=["vec_id", "v", "part"])
+                    yield pa.record_batch([*(batch.column(c).take(pa.array(at)) for c in names), pa.array(found.ravel().astype(np.int32))], names=[*names, "part"])
 
         return each
 
-    schema = lambda d: f"vec_id {dict(d.dtypes)['vec_id']}, v array<double>, part int"
-    indexed = scratch.write(rows.mapInArrow(routed(1), schema(rows)), "index")
+    schema = lambda d: ", ".join(f"{c} {kind}" for c, kind in d.dtypes) + ", part int"
+    indexed = scratch.write(rows.mapInArrow(routed(1, rows.columns), schema(rows)), "index")
     sizes = indexed.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     members = indexed.join(F.broadcast(sizes), "part").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))  # a row a part
-    wanted = asked.mapInArrow(routed(probes), schema(asked)).join(F.broadcast(sizes), "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    wanted = asked.mapInArrow(routed(probes, asked.columns), schema(asked)).join(F.broadcast(sizes), "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = F.xxhash64("part", "block")
-    both = members.select(group.alias("g"), F.lit(0).alias("q"), "vec_id", "v").unionByName(wanted.select(group.alias("g"), F.lit(1).alias("q"), "vec_id", "v"))
+    both = members.select(group.alias("g"), F.lit(0).alias("q"), "vec_id", "v", F.lit(None).cast("long").alias("row")).unionByName(wanted.select(group.alias("g"), F.lit(1).alias("q"), "vec_id", "v", "row"))
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks of members come before the queries that visit them."""
@@ -220,14 +221,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, least_recall: fl
                 ids, mat = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
                 order = np.argsort(ids, kind="stable")
                 ids, mat = ids[order], mat[order]
-                # Of equal vectors only the k + 1 of smallest id can come among a query's k: the others
-                # would only make ties that are lost.
+                # Of equal vectors only the k + 1 smallest ids, and k rows of each, can come among a
+                # query's k (its own id is left out): the others would only make ties that are lost.
                 _, same = np.unique(mat, axis=0, return_inverse=True)
                 by = np.argsort(same, kind="stable")
-                nth = np.empty(len(by), np.int64)
-                starts = np.flatnonzero(np.r_[True, same[by][1:] != same[by][:-1]])
-                nth[by] = np.arange(len(by)) - np.repeat(starts, np.diff(np.r_[starts, len(by)]))
-                ids, mat = ids[nth <= k], mat[nth <= k]
+                at = np.arange(len(by))
+                vector = np.r_[True, same[by][1:] != same[by][:-1]]
+                one = vector | np.r_[True, ids[by][1:] != ids[by][:-1]]
+                copy = at - np.maximum.accumulate(np.where(one, at, 0))
+                other = np.cumsum(one)
+                other -= np.maximum.accumulate(np.where(vector, other, 0))
+                keep = np.empty(len(by), bool)
+                keep[by] = (other <= k) & (copy < k)
+                ids, mat = ids[keep], mat[keep]
                 held.clear()
 
         for batch in batches:
@@ -243,6 +249,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, least_recall: fl
                 if q[a] == 0:
                     held.append((vec, x))
                     continue
+                row = batch.column("row").slice(a, b - a).to_numpy()
                 close()
                 if ids is None:
                     continue
@@ -254,13 +261,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, least_recall: fl
                     keep = val > -np.inf
                     ends = np.r_[0, np.cumsum(keep.sum(1))].astype(np.int32)
                     lists = lambda x: pa.ListArray.from_arrays(pa.array(ends), pa.array(x))
-                    yield pa.record_batch([pa.array(vec[at : at + QUERIES]), lists(ids[best][keep]), lists(-val[keep])], names=["query_id", "ids", "s"])
+                    yield pa.record_batch([pa.array(row[at : at + QUERIES]), pa.array(vec[at : at + QUERIES]), lists(ids[best][keep]), lists(-val[keep])], names=["row", "query_id", "ids", "s"])
 
     kinds = dict(rows.dtypes)["vec_id"]
-    found = both.repartition("g").sortWithinPartitions("g", "q").mapInArrow(ranked, f"query_id {dict(asked.dtypes)['vec_id']}, ids array<{kinds}>, s array<double>")
-    # A row a query and block, of k candidates each: (probes x blocks) rows of a query meet here.
+    found = both.repartition("g").sortWithinPartitions("g", "q").mapInArrow(ranked, f"row long, query_id {dict(asked.dtypes)['vec_id']}, ids array<{kinds}>, s array<double>")
+    # A row a query row and block, of k candidates each: (probes x blocks) rows of a query meet here.
     best = F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("s", F.col("ids").alias("vec_id"))))), 1, k)
-    top = found.groupBy("query_id").agg(best.alias("b")).select("query_id", F.posexplode("b").alias("p", "b"))
+    top = found.groupBy("row", "query_id").agg(best.alias("b")).select("query_id", F.posexplode("b").alias("p", "b"))
     return top.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), "b.vec_id", (-F.col("b.s")).alias("score"))
 
 

@@ -175,6 +175,21 @@ def test_search_is_exact_on_few_rows_and_skips_odd_vectors(spark):
     assert ann.search(d.limit(0), d.limit(0)).count() == 0
 
 
+def test_search_answers_repeated_rows_in_full(spark):
+    """A query row that occurs n times gets its k neighbours n times; copies of its own id push no other id out."""
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(1, 60)]
+    rows += [(100, rows[3][1])] * 3 + [(0, rows[7][1])] * 9 + [(i, rows[7][1]) for i in range(200, 208)] + [(200, rows[9][1])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = [r for r in rows if r[0] % 20 == 0]
+    got = Counter((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in ann.search(d, d.where("vec_id % 20 = 0"), k=5).collect())
+    want = Counter()
+    for q, x in asked:
+        near = sorted((-round(float(np.array(x) @ np.array(v)), 9), i) for i, v in rows if i != q)[:5]
+        want.update((q, k + 1, i, -s) for k, (s, i) in enumerate(near))
+    assert got == want and sum(got.values()) == 5 * len(asked)
+
+
 def test_search_recall(spark):
     d = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     got = defaultdict(set)
