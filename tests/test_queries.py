@@ -40,3 +40,28 @@ def test_entry(spark):
     assert entry.entry(spark).columns == ["rank", "sdoc", "tdoc", "score", "distance", "terms"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert all(isinstance(s, str) for s in entry.oracle_sql().values())
+
+
+def test_outputs_render_every_series_and_hour(spark):
+    import json
+    from collections import defaultdict
+
+    from stemloom.plans import series_queries as Q
+
+    sums = defaultdict(float)
+    for r in spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_type", "user_id", "value", Q.epoch("ts").alias("t")).collect():
+        if r.value is not None:
+            sums[f"ev.{r.event_type}.u{r.user_id % 4}", r.t - r.t % 3600] += r.value
+    names = sorted({n for n, _ in sums})
+    hours = range(Q.START, Q.END, 3600)
+    got = [json.loads(r.json) for r in Q.QUERIES["json_output"](spark, "/root/testdata/sf0.001").orderBy("ord").collect()]
+    assert [g["target"] for g in got] == names
+    for g in got:
+        assert [t for _, t in g["datapoints"]] == list(hours)
+        assert all((v is None) == ((g["target"], t) not in sums) and (v is None or abs(v - sums[g["target"], t]) < 1e-5) for v, t in g["datapoints"])
+    lines = [r.line for r in Q.QUERIES["raw_output"](spark, "/root/testdata/sf0.001").orderBy("ord").collect()]
+    assert [x.split("|")[0] for x in lines] == [f"{n},{Q.START},{Q.END},3600" for n in names]
+    for n, x in zip(names, lines):
+        values = x.split("|")[1].split(",")
+        assert len(values) == len(hours)
+        assert all((v == "None") == ((n, t) not in sums) and (v == "None" or abs(float(v) - sums[n, t]) < 1e-5) for v, t in zip(values, hours))
