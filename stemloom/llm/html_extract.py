@@ -4,7 +4,8 @@ A page is read as a sequence of words, each scoring +1, and tags, each scoring b
 seldom labelled pages have it inside their content. One linear scan finds the contiguous region of
 the largest sum. Text of elements that are never part of an article (menus, footers, forms,
 adverts, comments ..., by element or by the words of class, id and role) scores nothing and is left
-out of the region's blocks.
+out of the region's blocks; but an element that turns out to hold the page (a form around everything,
+a wrapper named like furniture) is not, nor is an article or main element inside one.
 """
 
 from __future__ import annotations
@@ -39,40 +40,85 @@ _APART_WORDS = frozenset(
     "copyright legal toolbar contentinfo complementary alert dialog skip".split()
 )
 _CONTENT_WORDS = frozenset("article content entry main post story text".split())
+#: What follows them in a name ("has-sidebar", "no-ads") tells of the layout around an element's content.
+_MODIFIERS = frozenset("has have with without no".split())
+#: A name with one of them ("search-page") is of a whole page.
+_PAGE_WORDS = frozenset("page layout site template".split())
+#: Named so, an element is furniture however much it holds.
+_NEVER_WORDS = frozenset("comment comments disqus reply replies respond related recommended recommendations cookie cookies consent gdpr".split())
 
 
-def _apart(name: str, attributes: str, in_article: bool) -> bool:
+def _words(attributes: str) -> set[str]:
+    """The words of class, id and role, without those that only tell of the layout."""
+    words: set[str] = set()
+    for found in _HINTS.findall(attributes):
+        for name in "".join(found).split():
+            parts = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+            if _PAGE_WORDS.isdisjoint(parts):
+                words.update(parts[: next((i for i, x in enumerate(parts) if x in _MODIFIERS), len(parts))])
+    return words
+
+
+def _apart(name: str, attributes: str, in_article: bool) -> int:
+    """0, or 1 for an element that is no part of an article; 2 where it may yet hold the page's text."""
     if name in _HOLDERS:
-        return False
-    if name in _APART or (name == "header" and not in_article):
-        return True
+        return 0
+    if (name in _APART and name != "form") or (name == "header" and not in_article):
+        return 1
     if not attributes or attributes.isspace():
-        return False
+        return 2 if name == "form" else 0
     if _HIDDEN.search(attributes):
-        return True
-    words: set[str] = set()
-    for found in _HINTS.findall(attributes):
-        words.update(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(found)).lower()))
-    if words & _APART_WORDS:
-        return not words & _CONTENT_WORDS
-    return "header" in words and not in_article
+        return 1
+    words = _words(attributes)
+    if words & _APART_WORDS and (name == "form" or not words & _CONTENT_WORDS):
+        return 1 if words & _NEVER_WORDS else 2
+    if name == "form":
+        return 2
+    return 2 if "header" in words and not in_article else 0
 
 
-def pieces(html: str) -> Iterator[tuple[str, str, bool]]:
+def _spared(seen: list[tuple], rest: int) -> frozenset[int]:
+    """Which elements that ``pieces`` took for furniture, or inside it, hold the page's text.
+
+    seen: (position, kind, words, words of the outermost element apart); rest: words outside of any.
+    A wrapper does if it holds over half of all words outside of plain furniture (over a quarter, if it
+    is in no other), and four times the rest; an article or main element does if it holds over half of its wrapper, and more than the rest.
+    All wrappers do where nothing else is left."""
+    total = rest + seen[-1][2]
+    wrapper = {at for at, kind, words, outer in seen if kind == 2 and (4 if words == outer else 2) * words > total and words > 4 * rest}
+    found = wrapper | {at for at, kind, words, outer in seen if kind == 0 and 2 * words > outer and words > rest}
+    return frozenset(found if found or rest else {at for at, kind, *_ in seen if kind == 2})
+
+
+def pieces(html: str, spared: frozenset[int] = frozenset(), seen: list[tuple] | None = None) -> Iterator[tuple[str, str, bool]]:
     """(kind, value, apart): ``text`` or ``@text`` with raw characters, or ``tag`` with its name, in page order.
 
     Text and tags inside an article or main element are marked by "@": pages that mark their article up
-    have other tags there than elsewhere."""
+    have other tags there than elsewhere. Elements that begin at a position in ``spared`` are not apart;
+    ``seen`` gets those that could be, and at last the words of all elements apart."""
     at, stack, apart, article = 0, [], 0, 0
     size = len(html)
+    hard = words = outer = 0  # depth of plain furniture, words outside of it, those before the outermost element apart
+    held: list[tuple] = []  # candidates inside the outermost element apart
+
+    def ended(start: int, kind: int, before: int) -> None:
+        """An element that could be spared, or the outermost one apart, ends."""
+        if start >= 0:
+            held.append((start, kind, words - before))
+        if not apart:
+            seen.extend((*h, words - outer) for h in held)
+            held.clear()
+
     while at < size:
         m = _MARKUP.search(html, at)
         # A "<" that begins no markup is text.
         upto = m.start() if m else size
         if upto > at:
+            if seen is not None and apart and not hard:
+                words += len(html[at:upto].split())
             yield "@text" if article else "text", html[at:upto], apart > 0
         if not m:
-            return
+            break
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
@@ -80,10 +126,13 @@ def pieces(html: str) -> Iterator[tuple[str, str, bool]]:
                 yield "mark", m[0], apart > 0
             continue
         if m[1]:
-            if any(x == name for x, _ in stack):
+            if any(x[0] == name for x in stack):
                 while True:
-                    x, off = stack.pop()
+                    x, off, kind, start, before = stack.pop()
                     apart -= off
+                    hard -= kind == 1
+                    if seen is not None and (off or start >= 0):
+                        ended(start, kind, before)
                     article -= x in ("article", "main")
                     if x == name:
                         break
@@ -93,13 +142,30 @@ def pieces(html: str) -> Iterator[tuple[str, str, bool]]:
             continue
         elif name not in _VOID and not m[3].endswith("/"):
             if name == "body":  # a head that was left open ends here
-                apart -= sum(off for x, off in stack if x == "head")
-                stack = [(x, 0 if x == "head" else off) for x, off in stack]
-            off = int(_apart(name, m[3], article > 0))
-            stack.append((name, off))
+                apart -= sum(x[1] for x in stack if x[0] == "head")
+                hard -= sum(x[2] == 1 for x in stack if x[0] == "head")
+                stack = [(x[0], 0, 3, -1, 0) if x[0] == "head" else x for x in stack]
+            kind = _apart(name, m[3], article > 0)
+            inner = not kind and apart > 0 and not hard and name in ("article", "main") and not _words(m[3]) & _APART_WORDS
+            start = m.start() if (kind == 2 or inner) and not hard else -1
+            if start in spared:
+                off, kind = (-apart if inner else 0), 3
+            else:
+                off, kind = int(kind > 0), kind if kind or inner else 3
+            if off > 0 and not apart:
+                outer = words
+            stack.append((name, off, kind, start, words))
             apart += off
+            hard += kind == 1
             article += name in ("article", "main")
         yield "tag", f"@{name}" if article and name not in _HOLDERS else name, apart > 0
+    if seen is not None:
+        while stack:  # elements left open end with the page
+            _, off, kind, start, before = stack.pop()
+            apart -= off
+            if off or start >= 0:
+                ended(start, kind, before)
+        seen.append((-1, -1, words, words))
 
 
 @lru_cache(1)
@@ -149,9 +215,15 @@ def blocks(html: str, scores: dict[str, float] | None) -> list[str]:
             if text:
                 done.append((first, text))
 
-    found = list(pieces(html))
-    # Where a page marks an article up, words outside of it can't be the article.
-    marked = any(kind == "@text" and not apart and not value.isspace() for kind, value, apart in found)
+    seen: list[tuple] = []
+    found = list(pieces(html, seen=seen))
+    count = lambda which: sum(len(value.split()) for kind, value, apart in found if kind == which and not apart)
+    plain, own = count("text"), count("@text")
+    if spared := _spared(seen, plain + own):
+        found = list(pieces(html, spared))
+        plain, own = count("text"), count("@text")
+    # Where a page marks an article up, words outside of it can't be the article, unless it is a mere teaser.
+    marked = own > 0 and 2 * own >= plain
     for kind, value, apart in found:
         at += 1
         if kind in ("text", "@text"):

@@ -265,6 +265,34 @@ def test_extract_main_text(spark):
     assert html_extract.extract(d.limit(0)).count() == 0
 
 
+_BODY = "".join(f"<p>{' '.join(f'story{k}x{i}' for i in range(40))}.</p>" for k in range(5))
+_SIDE = "<nav><a href=/>Home</a> <a href=/a>menuword</a></nav>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [f"<div class='{c}'>{_SIDE}<div>{_BODY}</div></div>" for c in ("row with-sidebar", "has-sidebar", "layout no-ads", "pageHasSidebar", "search", "banner overlay")]
+    + [
+        f"<section id='search-page'><div>{_BODY}</div></section>",
+        f"<form id=aspnetForm method=post>{_SIDE}<div>{_BODY}</div><select><option>menuword</select></form>",
+        f"<form><div class=sidebar><p>menuword</p></div><article>{_BODY}</article><div class=comments>menuword</div></form>",
+        f"<div class=widget><p>menuword one two</p><main>{_BODY}</main></div>",
+        f"<div class=search>{_SIDE}<div>{_BODY}</div>",
+        f"<article><a href=/t>A teaser card</a></article><div>{_BODY}</div>",
+        f"<div class=widget>{_BODY.replace('<p>story2', '</div><div class=widget><p>story2', 1)}</div>",
+    ],
+)
+def test_extract_from_layouts(page):
+    got = html_extract.main_text(f"<html><head><title>T</title></head><body>{page}<footer>menuword</footer></body></html>")
+    assert all(f"story{k}x{i}" in got for k in range(5) for i in range(40)) and "menuword" not in got
+
+
+@pytest.mark.parametrize("extra", [f"<div class=comments>{_BODY * 3}</div>".replace("story", "said"), "<div class=related><article>said few words</article></div>", "<form class=search>said <input></form>", "<aside><article>said it</article></aside>", "<div hidden><main>said</main></div>"])
+def test_extract_leaves_furniture_out(extra):
+    got = html_extract.main_text(f"<html><body><div>{_BODY}</div>{extra}</body></html>")
+    assert "story4x39" in got and "said" not in got
+
+
 # 6
 
 
