@@ -139,7 +139,9 @@ def pack(docs: DataFrame, window: int = 2048, shares: dict[str | None, float] |
     Null texts are empty: the end id alone. A null source is a queue of its own. Repeated rows
     and ids are packed each on its own; ties do not arise, as every row has its own place. Other
     columns are not read. An empty table gives no rows. Sequences have ``window`` tokens, but for
-    the last few, which have a power of two each and so need no padding.
+    the last few, which have a power of two each and so need no padding. Without ``shares``, more than
+    ``MAX_QUEUES`` sources are hashed into that many queues: the mixture of a window then holds per
+    queue, not per source; all tokens are packed.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
