@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -12,7 +13,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 _BLANKS = r"[\x20\x09-\x0D]+"
 _SYMBOLS = "#*$%&|<>"
 _EDGES = ".,;:!?\"()"
-#: So many repeated windows are looked for one by one.
+#: So many repeated windows are looked for one by one; of more, all windows are sorted.
 FEW = 48
 
 #: Frequent function words of the corpus's languages; a running text holds some of them.
@@ -48,10 +49,15 @@ RULES = (
     Rule("repeat_word_share", most=0.5),
 )
 
-#: Counts of a text; ``measured`` writes them with a leading underscore, beside the input's row.
+#: Counts of a text, in the order in which ``verdict`` has them.
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "n_upper", "n_letters", "n_bullet_lines", "n_ellipsis_lines")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _starts(x: Column, *heads: str) -> Column:
     return reduce(Column.__or__, (x.startswith(h) for h in heads))
 
@@ -60,45 +66,63 @@ def _ends(x: Column, *tails: str) -> Column:
     return reduce(Column.__or__, (x.endswith(t) for t in tails))
 
 
-def measured(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``carry``) as a column ``_row`` beside the counts of each whole text (null: no words)."""
-    held = docs.columns if carry is None else carry
-    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in held)).alias("_row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_t"))
+def _words(text: Column) -> Column:
     # Between runs of blanks lie the words, and an empty string before or behind blanks at the ends.
-    d = d.select("_row", "_t", F.array_remove(F.split("_t", _BLANKS, -1), "").alias("_w"), F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(WORD)).alias("_l"))
-    window = "_w[{0}], _w[{0} + 1], _w[{0} + 2]"
-    d = d.select("*", F.expr(f"CASE WHEN size(_w) > 3 THEN transform(sequence(0, size(_w) - 3), i -> xxhash64({window.format('i')})) END").alias("_h"))
-    # Only a text that repeats a window looks for its places: those of a few hashes by search, of many by
-    # sorting all. Windows of equal hashes (two of them, 96 bits in all) are then neighbours.
-    d = d.select("*", F.expr("CASE WHEN size(array_distinct(_h)) < size(_h) THEN sort_array(_h) END").alias("_x"))
-    d = d.select("*", F.expr("array_distinct(filter(_x, (x, k) -> x <=> get(_x, k + 1)))").alias("_twice"))
-    places = f"CASE WHEN size(_twice) <= {FEW} THEN filter(sequence(0, size(_h) - 1), i -> array_contains(_twice, _h[i])) ELSE sequence(0, size(_h) - 1) END"
-    d = d.select("*", F.expr(f"CASE WHEN _twice IS NOT NULL THEN sort_array(transform({places}, i -> struct(_h[i] AS h, hash({window.format('i')}) AS g, i AS i))) END").alias("_o"))
-    twin = "coalesce(get(_o, {0}).h = x.h AND get(_o, {0}).g = x.g, false)"
-    marked = f"transform(filter(_o, (x, k) -> {twin.format('k - 1')} OR {twin.format('k + 1')}), x -> array(x.i, x.i + 1, x.i + 2))"
-    stops = F.filter(F.split(F.lower(F.regexp_replace(F.array_join("_w", " "), F.lit(f"[{_EDGES}]+"), F.lit(""))), " ", -1), lambda x: x.isin(*STOP_WORDS))
-    within = lambda letters: F.length("_t") - F.length(F.regexp_replace("_t", F.lit(f"{letters}+"), F.lit("")))
-    counted = {
-        "n_words": F.size("_w"),
-        "word_chars": F.length(F.array_join("_w", "")),
+    return F.array_remove(F.split(text, _BLANKS, -1), "")
+
+
+def _repeat_words(words: Column) -> Column:
+    """How many words lie in windows of three words that the text holds twice or more.
+
+    Windows are grouped by a 64-bit hash and then compared word by word, so that different windows
+    never count as equal."""
+    window = lambda i: [F.get(words, i + k) for k in range(3)]
+
+    def covered(hashes: Column, twice: Column) -> Column:
+        all_ = F.sequence(F.lit(0), F.size(hashes) - 1)
+        places = F.when(F.size(twice) <= FEW, F.filter(all_, lambda i: F.array_contains(twice, F.get(hashes, i)))).otherwise(all_)
+        return _let(F.sort_array(F.transform(places, lambda i: F.struct(F.get(hashes, i).alias("h"), i.alias("i")))), marked)
+
+    def marked(ranked: Column) -> Column:
+        def equal(x: Column, y: Column) -> Column:
+            return F.coalesce((x["h"] == y["h"]) & reduce(Column.__and__, (a == b for a, b in zip(window(x["i"]), window(y["i"])))), F.lit(False))
+
+        hits = F.filter(ranked, lambda x, k: equal(x, F.get(ranked, k + 1)) | ((k > 0) & equal(x, F.get(ranked, k - 1))))
+        return F.size(F.array_distinct(F.flatten(F.transform(hits, lambda x: F.array(*(x["i"] + k for k in range(3)))))))
+
+    def among(hashes: Column) -> Column:
+        # Only a text that repeats a hash looks for the places of those that it repeats.
+        doubled = lambda ranked: F.array_distinct(F.filter(ranked, lambda x, k: x.eqNullSafe(F.get(ranked, k + 1))))
+        repeats = _let(F.sort_array(hashes), lambda ranked: _let(doubled(ranked), lambda twice: covered(hashes, twice)))
+        return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), repeats).otherwise(0)
+
+    hashes = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(*window(i)))
+    return F.when(F.size(words) > 3, _let(hashes, among)).otherwise(0)
+
+
+def _measures(text: Column, words: Column, lines: Column) -> dict[str, Column]:
+    stops = F.filter(F.split(F.lower(F.regexp_replace(F.array_join(words, " "), F.lit(f"[{_EDGES}]+"), F.lit(""))), " ", -1), lambda x: x.isin(*STOP_WORDS))
+    within = lambda letters: F.length(text) - F.length(F.regexp_replace(text, F.lit(f"{letters}+"), F.lit("")))
+    return {
+        "n_words": F.size(words),
+        "word_chars": F.length(F.array_join(words, "")),
         "n_symbols": within(f"[{_SYMBOLS}]"),
-        "n_dup_lines": F.size("_l") - F.size(F.array_distinct("_l")),
-        "n_repeat_words": F.expr(f"CASE WHEN _o IS NULL THEN 0 ELSE size(array_distinct(flatten({marked}))) END"),
-        "n_lines": F.size("_l"),
+        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+        "n_repeat_words": _repeat_words(words),
+        "n_lines": F.size(lines),
         "n_stop_words": F.size(stops),
         "n_upper": within(r"\p{Lu}"),
         "n_letters": within(r"\p{L}"),
-        "n_bullet_lines": F.size(F.filter("_l", lambda x: _starts(F.ltrim(x, F.lit(" \t")), *"-*•‣◦"))),
-        "n_ellipsis_lines": F.size(F.filter("_l", lambda x: _ends(F.rtrim(x, F.lit(" \t\r")), "...", "…"))),
+        "n_bullet_lines": F.size(F.filter(lines, lambda x: _starts(F.ltrim(x, F.lit(" \t")), *"-*•‣◦"))),
+        "n_ellipsis_lines": F.size(F.filter(lines, lambda x: _ends(F.rtrim(x, F.lit(" \t\r")), "...", "…"))),
     }
-    return d.select("_row", *(c.cast("long").alias(f"_{n}") for n, c in counted.items()))
 
 
-def ratios() -> dict[str, Column]:
+def ratios(m: Column) -> dict[str, Column]:
     """What the rules measure; null where there is nothing to divide by."""
-    share = lambda a, b: F.try_divide(F.col(f"_{a}").cast("double"), F.col(f"_{b}").cast("double"))
+    share = lambda a, b: F.try_divide(m[a].cast("double"), m[b].cast("double"))
     return {
-        "n_words": F.col("_n_words"),
+        "n_words": m["n_words"],
         "mean_word_chars": share("word_chars", "n_words"),
         "symbols_per_word": share("n_symbols", "n_words"),
         "stop_word_share": share("n_stop_words", "n_words"),
@@ -110,39 +134,47 @@ def ratios() -> dict[str, Column]:
     }
 
 
-def failures(rules: tuple[Rule, ...] = RULES) -> Column:
-    """The measures whose rules a text breaks, comma-joined; empty for none."""
-    known = ratios()
+def _judged(m: Column, rules: tuple[Rule, ...]) -> Column:
+    known = ratios(m)
     broken = []
     for rule in rules:
         value = known[rule.measure]
         tests = ([value < rule.least] if rule.least is not None else []) + ([value > rule.most] if rule.most is not None else [])
         broken.append(F.when(reduce(Column.__or__, tests), F.lit(rule.measure)))
-    return F.concat_ws(",", *broken)
+    base = (m["n_words"] < 50) | (F.lit(100) * m["n_repeat_words"] > F.lit(50) * m["n_words"])
+    failed = F.concat_ws(",", *broken)
+    return F.struct(*(m[n].alias(n) for n in MEASURES), base.alias("base_failed"), failed.alias("failed_rules"), (~base & (failed == "")).alias("kept"))
+
+
+def verdict(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """One struct for a text: its counts, ``base_failed``, ``failed_rules`` (comma-joined) and ``kept``.
+
+    The rules and all they measure are a single expression of built-in functions; words and lines
+    live while a row is evaluated and are never columns. Null is no words."""
+    whole = F.coalesce(text.cast("string"), F.lit(""))
+    lines = lambda t: F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD))
+    counted = lambda t, w, ln: F.struct(*(c.cast("long").alias(n) for n, c in _measures(t, w, ln).items()))
+    return _let(whole, lambda t: _let(_words(t), lambda w: _let(lines(t), lambda ln: _let(counted(t, w, ln), lambda m: _judged(m, rules)))))
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: list[str] | None = None) -> DataFrame:
-    """Every document with its counts, ``base_failed``, ``failed_rules`` and ``kept``, in one projection.
+    """Every document's columns (or those of ``carry``) as ``_row`` beside its ``_verdict``, in one projection.
 
     A null or empty text has no words and fails. Nulls elsewhere, repeated rows and ids, and extra
     columns (also of the same names as the counts) change nothing: each row is judged alone, so
     there are no ties. Very long texts are judged whole. An empty table gives no rows."""
-    n, r = F.col("_n_words"), F.col("_n_repeat_words")
-    base = (n < 50) | (F.lit(100) * r > F.lit(50) * n)
-    d = measured(docs, carry=carry).select("*", base.alias("_base_failed"), failures(rules).alias("_failed_rules"))
-    # A filter on the verdict must not be pushed below the projections: it would take their nested
-    # expressions along, each as often as it is used. A test that is not deterministic, and always true, holds it.
-    return d.select("*", (~F.col("_base_failed") & (F.col("_failed_rules") == "") & (F.spark_partition_id() >= 0)).alias("_kept"))
+    held = docs.columns if carry is None else carry
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in held)).alias("_row"), verdict(F.col("`text`"), rules).alias("_verdict"))
 
 
 def quality_query(spark, sf_dir: str) -> DataFrame:
     d = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), carry=["doc_id"])
-    return d.select("_row.doc_id", *(F.col(f"_{c}").alias(c) for c in (*MEASURES[:5], "base_failed", "kept", "failed_rules")))
+    return d.select("_row.doc_id", *(f"_verdict.{c}" for c in (*MEASURES[:5], "base_failed", "kept", "failed_rules")))
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents that the rules keep, with their own columns."""
-    return judge(docs, rules).where("_kept").select("_row.*")
+    """The documents that the rules keep, with their own columns; see ``judge`` for edge cases."""
+    return docs.where(verdict(F.col("`text`"), rules)["kept"])
 
 
 def quality_sql(rules: tuple[Rule, ...] = RULES) -> str:

@@ -459,9 +459,12 @@ def test_quality_counts(spark, few, monkeypatch):
     monkeypatch.setattr(quality, "FEW", few)
     texts = [*TEXTS, "a b c a b c a b", "# x | <y>\n# x | <y>\n\n \n- * item", " lead and trail \n", "x" * 5000 + " y z"]
     for r in quality.judge(docs_of(spark, texts)).collect():
-        want = plain_quality(texts[r._row.doc_id])
-        assert (r._n_words, r._word_chars, r._n_symbols, r._n_dup_lines, r._n_repeat_words) == want
-        assert r._base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and (not r._base_failed or not r._kept)
+        want, v = plain_quality(texts[r._row.doc_id]), r._verdict
+        assert (v.n_words, v.word_chars, v.n_symbols, v.n_dup_lines, v.n_repeat_words) == want
+        assert v.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and (not v.base_failed or not v.kept)
+    d = docs_of(spark, texts)
+    kept = quality.judge(d).where("_verdict.kept").select("_row.*")
+    assert sorted(map(tuple, quality.keep_good(d).collect()), key=str) == sorted(map(tuple, kept.collect()), key=str)
     assert quality.keep_good(empty(spark)).count() == 0 and quality.keep_good(empty(spark)).columns == empty(spark).columns
 
 
@@ -479,7 +482,7 @@ def test_pipeline(spark):
             assert now.columns == docs.columns
             kept.append({r.doc_id: r.text for r in now.select("doc_id", "text").collect()})
     texts = {r.doc_id: r.text for r in docs.collect()}
-    assert set(kept[0]) == {r.doc_id for r in quality.judge(docs).where("_kept").select("_row.doc_id").collect()}
+    assert set(kept[0]) == {r.doc_id for r in quality.judge(docs).where("_verdict.kept").select("_row.doc_id").collect()}
     first = sorted(kept[0])
     parts = components([plain_fingerprint(texts[i]) for i in first])
     assert set(kept[1]) == {first[p] for p in parts}
