@@ -149,10 +149,20 @@ def revisits(index: DataFrame, least_bytes: int) -> DataFrame:
     return joined.withColumn("first", F.when(~own & (F.col("payload_bytes") >= least_bytes), F.col("first")))
 
 
-def normalise(decided: DataFrame, crawl: str, root: str, level: int = 6) -> DataFrame:
+#: Most tasks that files are dealt to; beyond it a task has many files, and all about as many.
+TASKS = 20_000
+
+
+def tasks_for(files: DataFrame) -> int:
+    """Tasks to deal the distinct files of ``files`` to: twice their number, so that few share one."""
+    return max(1, min(TASKS, 2 * files.select("file").distinct().count()))
+
+
+def normalise(decided: DataFrame, crawl: str, root: str, tasks: int, level: int = 6) -> DataFrame:
     """Rewrite whole-file archives under ``crawl`` as one member a record under ``root``, with sidecars.
 
-    ``decided``: every record's (file, ordinal, first). Gives (file, sidecar, records) of each new file."""
+    ``decided``: every record's (file, ordinal, first). Gives (file, sidecar, records) of each new file.
+    Files are dealt out by their number, as their index rows say nothing of their size."""
 
     def rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from_store, from_base = fs.FileSystem.from_uri(crawl)
@@ -200,13 +210,13 @@ def normalise(decided: DataFrame, crawl: str, root: str, level: int = 6) -> Data
             yield pa.record_batch([pa.array(x) for x in zip(*done)], names=["file", "sidecar", "records"])
 
     rows = decided.select("file", "ordinal", F.when(F.col("first").isNotNull(), F.struct("first.page_id", "first.file", "first.ordinal")).alias("first"))
-    return rows.repartition("file").sortWithinPartitions("file", "ordinal").mapInArrow(rewritten, "file string, sidecar string, records long")
+    return rows.repartition(tasks, "file").sortWithinPartitions("file", "ordinal").mapInArrow(rewritten, "file string, sidecar string, records long")
 
 
 RECORDS = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long, member_bytes long"
 
 
-def read_archives(files: DataFrame, root: str, payloads: bool = True) -> DataFrame:
+def read_archives(files: DataFrame, root: str, tasks: int, payloads: bool = True) -> DataFrame:
     """Every record of normalised files (file, sidecar), each read alone by its place in the sidecar.
 
     A response's payload is held against its digest. payloads: whether to return them."""
@@ -241,7 +251,7 @@ def read_archives(files: DataFrame, root: str, payloads: bool = True) -> DataFra
         kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in RECORDS.split(", ")])
 
-    return files.select("file", "sidecar").repartition("file").mapInArrow(read, RECORDS)
+    return files.select("file", "sidecar").repartition(tasks, "file").mapInArrow(read, RECORDS)
 
 
 def archive(pages: DataFrame, least_bytes: int = 0, payloads: bool = True) -> DataFrame:
@@ -254,9 +264,10 @@ def archive(pages: DataFrame, least_bytes: int = 0, payloads: bool = True) -> Da
     scratch = Scratch(pages.sparkSession, "warc")
     crawl, normal = scratch.path("crawl"), scratch.path("normal")
     index = scratch.write(write_crawl(pages, crawl), "index")
-    files = scratch.write(normalise(revisits(index, least_bytes), crawl, normal), "files")
+    tasks = tasks_for(index)
+    files = scratch.write(normalise(revisits(index, least_bytes), crawl, normal, tasks), "files")
     scratch.drop("crawl")
-    return read_archives(files, normal, payloads)
+    return read_archives(files, normal, tasks, payloads)
 
 
 def warc_query(spark, sf_dir: str) -> DataFrame:

@@ -69,7 +69,7 @@ def test_warc_members_are_indexed(spark, tmp_path):
     scratch = Scratch(spark, "t")
     crawl, normal = f"file://{tmp_path}/crawl", f"file://{tmp_path}/normal"
     index = scratch.write(warc.write_crawl(pages, crawl, file_bytes=2000), "index")
-    files = scratch.write(warc.normalise(warc.revisits(index, 0), crawl, normal), "files").collect()
+    files = scratch.write(warc.normalise(warc.revisits(index, 0), crawl, normal, warc.tasks_for(index)), "files").collect()
     assert sum(f.records for f in files) == 20 and len(files) > 3
     for f in files:
         data = (tmp_path / "normal" / f.file).read_bytes()
