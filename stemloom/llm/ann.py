@@ -2,28 +2,39 @@
 
 On a bounded sample a graph of nearest neighbours is cut into balanced parts, and a small
 classifier learns to tell a vector's part. The classifier then gives every vector of the table a
-part and every query its most probable parts, whose members are ranked by the exact measure. How
-many parts a query visits is set by the recall on sample queries that the classifier has not seen.
+part and every query its most probable parts. A part that is still large is partitioned in the same
+way, by a sample and a classifier of its own, so parts keep their size however many rows there are.
+The members of the parts that a query reaches are ranked by the exact measure. How many parts a
+query visits is set by the recall on sample queries that the classifier has not seen.
 """
 
 from __future__ import annotations
 
+import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemloom.scratch import Scratch
 
-#: The model is fitted on at most so many rows, those whose hash is least; every row is indexed.
+#: A classifier is fitted on about so many rows of what it partitions, those whose hash is least; every row is indexed.
 SAMPLE = 12_000
-#: Members of a part that one task row holds: larger parts are dealt out in blocks.
-BLOCK = 4096
+#: Rows of a part that are aimed at, and most parts of one classifier.
+LEAF, FAN = 500, 80
+#: Members of a part that one task holds, and queries that are ranked against them in one task: larger parts are dealt out in blocks.
+BLOCK, ASKED = 4096, 16_384
 #: Queries that are ranked against a block at once.
 QUERIES = 512
+#: Beyond so many classifiers at a level rows are dealt out by them, so that a task needs few.
+MODELS = 256
 
 
 @dataclass
@@ -38,7 +49,7 @@ class Router:
     recall: float
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        x = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).astype(self.w1.dtype)
         return np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2
 
     def parts(self, x: np.ndarray, n: int) -> np.ndarray:
@@ -136,7 +147,7 @@ def fit_router(x: np.ndarray, parts: int, k: int, least_recall: float, seed: int
                 m[i] += 0.1 * (g - m[i])
                 v[i] += 0.001 * (g * g - v[i])
                 w[i] -= rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
-    router = Router(*(p.astype(np.float64) for p in w), parts, 1.0)
+    router = Router(*w, parts, 1.0)
     rows = np.flatnonzero(held)[:1000]
     own = router.parts(x, 1)[:, 0]
     order = router.parts(x[rows], parts)
@@ -169,6 +180,97 @@ def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out
 
 
+def without_needless_copies(rows: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """Of a vector with more than BLOCK rows only those that can be among a query's k: the k + 1 smallest
+    ids (the query's own is left out) and k rows of each. The others would make ties that are lost."""
+    counted = rows.withColumn("h", F.xxhash64("v"))
+    hot = scratch.write(counted.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK), "hot")
+    if not hot.limit(1).count():
+        return rows
+    ids = counted.join(hot, "h").groupBy("h", "n", "v", "vec_id").agg(F.count(F.lit(1)).alias("c"))
+    least = lambda lists: F.slice(F.array_sort(lists), 1, k + 1)
+    some = ids.groupBy("v", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("n") / BLOCK)).alias("s")).agg(least(F.collect_list(F.struct("vec_id", "c"))).alias("x"))
+    kept = some.groupBy("v").agg(least(F.flatten(F.collect_list("x"))).alias("x")).select("v", F.explode("x").alias("x"))
+    kept = kept.withColumn("_", F.explode(F.sequence(F.lit(1), F.least(F.col("x.c"), F.lit(k))))).select(F.col("x.vec_id").alias("vec_id"), "v")
+    return counted.join(hot, "h", "left_anti").select("vec_id", "v").unionByName(kept)
+
+
+@lru_cache(MODELS)
+def _model(root: str, node: int) -> Router:
+    store, base = fs.FileSystem.from_uri(root)
+    with store.open_input_stream(f"{base}/{node:x}", compression=None) as f:
+        return pickle.loads(f.read())
+
+
+def fit_nodes(rows: DataFrame, sizes: DataFrame, root: str, k: int, least_recall: float, sample: int) -> DataFrame:
+    """A classifier for each node of ``sizes`` (node, n), fitted on a sample of its ``rows`` and written under ``root``.
+
+    Gives (node, parts, probes, recall)."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        node, n = int(pdf["node"].iloc[0]), int(pdf["n"].iloc[0])
+        picked = pdf.sort_values(["r", "vec_id"], kind="stable")["v"].to_numpy()[:sample]
+        x = np.stack(picked).astype(np.float64)
+        parts = int(np.clip(n // LEAF, 2, min(FAN, max(2, len(x) // 60))))
+        router = fit_router(x, parts, min(2 * k, max(1, len(x) // parts)), least_recall)
+        store, base = fs.FileSystem.from_uri(root)
+        store.create_dir(base, recursive=True)
+        with store.open_output_stream(f"{base}/{node:x}", compression=None) as f:
+            f.write(pickle.dumps(router))
+        return pd.DataFrame({"node": [node], "parts": [router.b2.size], "probes": [router.probes], "recall": [router.recall]})
+
+    # A hash that is uniform over the rows: those below a share of its range are the sample.
+    r = F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 40))
+    picked = rows.join(sizes, "node").withColumn("r", r).where(F.col("r") * F.col("n") <= float(sample) * (1 << 40))
+    return picked.groupBy("node").applyInPandas(fit, "node long, parts int, probes int, recall double")
+
+
+def routed(d: DataFrame, nodes: DataFrame, n_nodes: int, root: str, many: bool) -> DataFrame:
+    """``d`` with ``node`` replaced by the most probable part of it (``many``: by all that are to be visited, a row each)."""
+    names = d.columns
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            node, probes = batch.column("node").to_numpy(), batch.column("probes").fill_null(0).to_numpy()
+            vectors = batch.column("v")
+            took, into = [np.flatnonzero(probes == 0)], [node[probes == 0]]  # what was small enough stays as it is
+            order = np.flatnonzero(probes > 0)
+            order = order[np.argsort(node[order], kind="stable")]
+            for at in np.split(order, np.flatnonzero(np.diff(node[order])) + 1):
+                if len(at):
+                    x = np.stack(vectors.take(pa.array(at)).to_numpy(zero_copy_only=False))
+                    found = _model(root, int(node[at[0]])).parts(x, int(probes[at[0]]) if many else 1)
+                    took.append(np.repeat(at, found.shape[1]))
+                    into.append(node[at[0]] * (FAN + 1) + 1 + found.ravel())
+            rows = batch.select(names).take(pa.array(np.concatenate(took)))
+            yield rows.set_column(names.index("node"), "node", pa.array(np.concatenate(into).astype(np.int64)))
+
+    joined = d.join(nodes.select("node", "probes"), "node", "left").select(*names, "probes")
+    if n_nodes > MODELS:
+        joined = joined.repartition("node")
+    return joined.mapInArrow(each, ", ".join(f"{c} {kind}" for c, kind in d.dtypes))
+
+
+def index(rows: DataFrame, asked: DataFrame, k: int, least_recall: float, sample: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with the part (``node``) of each, and ``asked`` with each part to visit."""
+    rows, asked = rows.withColumn("node", F.lit(0).cast("long")), asked.withColumn("node", F.lit(0).cast("long"))
+    # A part of more than twice LEAF is partitioned; one that cannot be (equal vectors) is left after as many levels as others need.
+    n = rows.count()
+    levels = math.ceil(math.log(max(1.0, n / LEAF), FAN)) + 1 if n > 2 * LEAF else 0
+    for level in range(levels):
+        sizes = scratch.write(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * LEAF), f"sizes-{level}")
+        if not sizes.limit(1).count():
+            break
+        root = scratch.path(f"models-{level}")
+        nodes = scratch.write(fit_nodes(rows, sizes, root, k, least_recall ** (1 / max(1, levels - 1)), sample), f"nodes-{level}")
+        n_nodes = nodes.count()
+        rows = scratch.write(routed(rows, nodes, n_nodes, root, False), f"rows-{level}")
+        asked = scratch.write(routed(asked, nodes, n_nodes, root, True), f"asked-{level}")
+    return rows, asked
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, least_recall: float = 0.94, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of largest inner product found for each query row.
 
@@ -176,38 +278,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, least_recall: fl
     out. Rows without an id, or whose vector is null, zero or not finite, take no part. Ties go to
     the smaller vec_id; repeated rows are candidates each, and repeated query rows get their k each. With k or fewer other rows all are
     returned; an empty table gives no rows; other columns are not read."""
-    spark = vectors.sparkSession
-    scratch = Scratch(spark, "ann")
+    scratch = Scratch(vectors.sparkSession, "ann")
     rows = scratch.write(usable(vectors), "rows")
+    rows = without_needless_copies(rows, k, scratch)
     # Each query row has a number of its own: a repeated one is searched for, and answered, by itself.
     asked = scratch.write(usable(queries).withColumn("row", F.monotonically_increasing_id()), "asked")
-    n = rows.count()
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()["v"]
-    if not len(picked):
-        return spark.createDataFrame([], f"query_id {dict(queries.dtypes)['vec_id']}, rank int, vec_id {dict(vectors.dtypes)['vec_id']}, score double")
-    x = np.stack(picked.to_numpy())
-    parts = int(np.clip(n // 800, 1, max(1, len(x) // 150)))
-    router = fit_router(x, parts, 2 * k, least_recall) if parts > 1 else fit_router(x, 1, k, least_recall)
-    shared = spark.sparkContext.broadcast(router)  # one hidden layer: its size is fixed by the sample's bound
-    probes = router.probes
-
-    def routed(many: int, names: list[str]):
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if len(batch):
-                    x = np.stack(batch.column("v").to_numpy(zero_copy_only=False))
-                    found = shared.value.parts(x, many)
-                    at = np.repeat(np.arange(len(batch)), found.shape[1])
-                    yield pa.record_batch([*(batch.column(c).take(pa.array(at)) for c in names), pa.array(found.ravel().astype(np.int32))], names=[*names, "part"])
-
-        return each
-
-    schema = lambda d: ", ".join(f"{c} {kind}" for c, kind in d.dtypes) + ", part int"
-    indexed = scratch.write(rows.mapInArrow(routed(1, rows.columns), schema(rows)), "index")
-    sizes = indexed.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    members = indexed.join(F.broadcast(sizes), "part").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))  # a row a part
-    wanted = asked.mapInArrow(routed(probes, asked.columns), schema(asked)).join(F.broadcast(sizes), "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    group = F.xxhash64("part", "block")
+    rows, asked = index(rows, asked, k, least_recall, sample, scratch)
+    count = lambda d, size, name: d.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    sizes = scratch.write(count(rows, BLOCK, "blocks").join(count(asked, ASKED, "shares"), "node"), "sizes")  # a row a part that is visited
+    deal = lambda d, key, name: d.withColumn(name[:-1], F.pmod(F.xxhash64(key), F.col(name)).cast("int"))
+    each = lambda d, name: d.withColumn(name[:-1], F.explode(F.sequence(F.lit(0), F.col(name) - 1)))
+    members = each(deal(rows.join(sizes, "node"), "vec_id", "blocks"), "shares")
+    wanted = each(deal(asked.join(sizes, "node"), "row", "shares"), "blocks")
+    group = F.xxhash64("node", "block", "share")
     both = members.select(group.alias("g"), F.lit(0).alias("q"), "vec_id", "v", F.lit(None).cast("long").alias("row")).unionByName(wanted.select(group.alias("g"), F.lit(1).alias("q"), "vec_id", "v", "row"))
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
