@@ -1,10 +1,11 @@
 """SimHash near-duplicates: fingerprints, a binary-trie self-join and connected components.
 
 Fingerprints that differ are few bits apart only for near copies, so equal ones are collapsed
-first. Two that differ in at most three bits agree in one of four 16-bit blocks: each fingerprint
-goes to four groups, and each group is joined with itself by traversing the binary trie of its
-sorted fingerprints in pairs of nodes, all pairs of one depth at once in numpy. A pair of nodes
-carries its count of differing bits and is dropped once the count exceeds the budget.
+first. Two that differ in at most three bits agree in one of four blocks of bits, in two of five and
+in three of six: each fingerprint goes to a group for each such choice of blocks, of the coarsest
+kind under which groups stay small (see ``BLOCKINGS``). Each group is joined with itself by traversing
+the binary trie of its sorted fingerprints in pairs of nodes, all pairs of one depth at once in numpy.
+A pair of nodes carries its count of differing bits and is dropped once the count exceeds the budget.
 
 A group that holds more than ``GROUP`` fingerprints is dealt out in salted chunks, each pair of
 chunks a task's own join, so no task grows with the hottest block. A task reports its links as a
@@ -16,6 +17,8 @@ each round's links written, never on the driver.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -24,39 +27,43 @@ from pyspark.sql import functions as F
 
 from stemloom.scratch import Scratch
 
-BITS, BLOCKS = 64, 4
-#: Members of a group that are joined in one piece.
-GROUP = 4096
+BITS = 64
+#: Blocks that agree in a pair's group. Groups have about n / 2 ** (64 * agreeing / blocks) members; all choices find all pairs.
+BLOCKINGS = (1, 2, 3, 4)
+#: Members of a group that are joined in one piece, and members on average from which on more blocks must agree.
+GROUP, CROWD = 4096, 64
 #: Node pairs that are traversed at once.
 FRONTIER = 1 << 20
+#: Shingles of a text that are held at once.
+CHUNK = 1 << 16
 
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BLANKS = bytes(32 if b in b"\t\n\x0b\f\r " else b for b in range(256))
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
-    """The 64-bit fingerprint of a whole text; 0 for a text without words."""
+    """The 64-bit fingerprint of a whole text; 0 for a text without words. Shingles are made and counted in chunks."""
     import xxhash
 
-    raw = (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).translate(_BLANKS)
-    parts = raw.split()
+    parts = (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).translate(_BLANKS).split()
     if not parts:
         return 0
-    joined = b" ".join(parts)
-    if len(parts) <= words:
-        spans = [joined]
-    else:
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-        ends = np.cumsum(lengths + 1) - 1
-        starts = ends - lengths
-        spans = [joined[a:b] for a, b in zip(starts[: 1 - words].tolist(), ends[words - 1 :].tolist())]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, 42) for s in spans), np.uint64, len(spans))
+    n = max(1, len(parts) - words + 1)
     counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        some = hashes[at : at + (1 << 16)]
-        counts += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = (2 * counts > len(hashes)).astype(np.uint8)
+    for at in range(0, n, CHUNK):
+        some = parts[at : at + CHUNK + words - 1]
+        joined = b" ".join(some)
+        if n == 1:
+            spans = [joined]
+        else:
+            lengths = np.fromiter(map(len, some), np.int64, len(some))
+            ends = np.cumsum(lengths + 1) - 1
+            starts = ends - lengths
+            spans = [joined[a:b] for a, b in zip(starts[: len(some) - words + 1].tolist(), ends[words - 1 :].tolist())]
+        hashes = np.fromiter((digest(x, 42) for x in spans), np.uint64, len(spans))
+        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    bits = (2 * counts > n).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
@@ -205,18 +212,33 @@ def _join_partition(groups: np.ndarray, side: np.ndarray, fps: np.ndarray, budge
     return fps[i], fps[j]
 
 
-def near_links(distinct: DataFrame, budget: int, scratch: Scratch) -> DataFrame:
+def masks(budget: int, agreeing: int) -> list[int]:
+    """The bits of each choice of ``agreeing`` of ``agreeing + budget`` blocks, as signed longs."""
+    blocks = agreeing + budget
+    edges = [round(k * BITS / blocks) for k in range(blocks + 1)]
+    of = [(1 << z) - (1 << a) for a, z in zip(edges, edges[1:])]
+    found = (sum(c) for c in combinations(of, agreeing))
+    return [m - (1 << 64) if m >> 63 else m for m in found]
+
+
+def blocks_to_agree(n: int, budget: int) -> int:
+    """The fewest blocks under which groups of n fingerprints have CROWD members on average, or nearly."""
+    return next((k for k in BLOCKINGS if n <= CROWD * 2 ** (BITS * k / (k + budget))), BLOCKINGS[-1])
+
+
+def near_links(distinct: DataFrame, budget: int, scratch: Scratch, agreeing: int | None = None) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``fp``: a spanning forest of each task's links.
 
-    With b blocks, b - 1 differing bits leave one block equal; 3 bits need four."""
-    width = BITS // BLOCKS
-    if budget >= BLOCKS:
-        raise ValueError(f"at most {BLOCKS - 1} differing bits")
-    block = lambda k: F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit((1 << width) - 1))
-    keyed = distinct.select("fp", F.explode(F.array(*(block(k) + F.lit(k << width) for k in range(BLOCKS)))).alias("key"))
+    Of k + budget blocks, ``budget`` differing bits leave k equal. ``agreeing`` is that k, by default by
+    the number of fingerprints: every choice finds all links."""
+    if agreeing is None:
+        agreeing = blocks_to_agree(distinct.count(), budget)
+    chosen = masks(budget, agreeing)
+    assert len(chosen) == comb(agreeing + budget, agreeing)
+    keyed = distinct.select("fp", F.explode(F.array(*(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(chosen)))).alias("key"))
     sizes = keyed.groupBy("key").count()
     hot = scratch.write(sizes.where(F.col("count") > GROUP).select("key", F.ceil(F.col("count") / GROUP).cast("int").alias("chunks")), "hot")
-    # At most (4 fingerprints a row / GROUP) keys are hot; Spark broadcasts them while they are few.
+    # At most (groups of a fingerprint / GROUP) keys a fingerprint are hot; Spark broadcasts them while they are few.
     keyed = keyed.join(hot, "key", "left").withColumn("chunk", F.pmod(F.xxhash64("fp", "key"), F.coalesce("chunks", F.lit(1))).cast("int"))
     # A chunk meets itself (side 0) and each other chunk: the smaller number is side 0 of the pair.
     pairs = F.transform(
@@ -252,7 +274,8 @@ def components(links: DataFrame, scratch: Scratch, prefix: str = "links") -> Dat
     Alternating stars: each node's larger neighbours, then its smaller ones, are linked to its
     smallest neighbour, until every link leads to a root. Each round is written."""
     edges = scratch.write(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), f"{prefix}-0")
-    n = 0
+    marked = lambda d: d.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first()
+    n, before = 0, marked(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -260,10 +283,11 @@ def components(links: DataFrame, scratch: Scratch, prefix: str = "links") -> Dat
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         after = scratch.write(small, f"{prefix}-{n + 1}")
-        # Done when the links are stars: each node has one link, and no root has a smaller neighbour.
-        moved = after.exceptAll(edges).limit(1).count() or edges.exceptAll(after).limit(1).count()
+        # Done when a round changes no link: they are stars then. Sets of links are compared by their
+        # number and two 64-bit sums of hashes.
+        mark = marked(after)
         scratch.drop(f"{prefix}-{n}")
-        edges, n = after, n + 1
+        edges, n, moved, before = after, n + 1, mark != before, mark
         if not moved:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 

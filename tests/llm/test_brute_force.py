@@ -419,6 +419,18 @@ def components(fps, budget=3):
     return [find(i) for i in range(len(fps))]
 
 
+def test_blocks_grow_with_the_number_of_fingerprints():
+    assert [simhash.blocks_to_agree(n, 3) for n in (0, 10**6, 10**7, 10**9, 10**10, 10**11, 10**13)] == [1, 1, 2, 2, 3, 3, 4]
+    assert [len(simhash.masks(3, k)) for k in (1, 2, 3)] == [4, 10, 20]
+
+
+@pytest.mark.parametrize("chunk", [1 << 16, 5])
+def test_fingerprints_in_chunks(chunk, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    for t in [*TEXTS[:6], "a b c d e f", "a b c d e f g h i j k", " ".join(map(str, range(503)))]:
+        assert simhash.fingerprint(t) == plain_fingerprint(t)
+
+
 def test_fingerprints_and_components(spark):
     base = " ".join(f"w{i}" for i in range(400))
     texts = [*TEXTS, base, base + " tail", base.upper(), base.replace("w7 ", "x7 "), "    x"]
@@ -430,8 +442,8 @@ def test_fingerprints_and_components(spark):
     assert {r.doc_id for r in simhash.one_of_each(docs_of(spark, texts, False)).collect()} == set(components(fps))
 
 
-@pytest.mark.parametrize("group", [4096, 7])
-def test_trie_join_finds_every_link(spark, group, monkeypatch):
+@pytest.mark.parametrize("group, agreeing", [(4096, None), (7, 1), (7, 2), (4096, 3), (4096, 4)])
+def test_trie_join_finds_every_link(spark, group, agreeing, monkeypatch):
     monkeypatch.setattr(simhash, "GROUP", group)
     rng = np.random.default_rng(4)
     seeds = rng.integers(0, 1 << 63, 12)
@@ -445,7 +457,7 @@ def test_trie_join_finds_every_link(spark, group, monkeypatch):
     values = sorted(values)
     d = spark.createDataFrame([(int(np.uint64(v).astype(np.int64)),) for v in values], "fp long")
     scratch = Scratch(spark, "t")
-    got = {r.node: r.root for r in simhash.components(simhash.near_links(d, 3, scratch), scratch).collect()}
+    got = {r.node: r.root for r in simhash.components(simhash.near_links(d, 3, scratch, agreeing), scratch).collect()}
     signed = [int(np.uint64(v).astype(np.int64)) for v in values]
     by_root = defaultdict(set)
     for v in signed:
