@@ -520,30 +520,6 @@ def test_quality_counts(spark, few, monkeypatch):
 # The pipeline
 
 
-def test_pipeline(spark):
-    import corpus_pipeline as P
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    now, kept = docs, []
-    for k, (_, stage) in enumerate(P.STAGES):
-        now = Scratch(spark, "t").write(stage(spark, now, SF), f"s{k}")
-        if k < len(P.STAGES) - 1:
-            assert now.columns == docs.columns
-            kept.append({r.doc_id: r.text for r in now.select("doc_id", "text").collect()})
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    assert set(kept[0]) == {r.doc_id for r in quality.judge(docs).where("_verdict.kept").select("_row.doc_id").collect()}
-    first = sorted(kept[0])
-    parts = components([plain_fingerprint(texts[i]) for i in first])
-    assert set(kept[1]) == {first[p] for p in parts}
-    assert set(kept[2]) == set(kept[1])
-    for i, t in kept[2].items():
-        assert (t != texts[i]) == bool("[SECRET]" in t and "[SECRET]" not in texts[i]) and not plain_spans(t)
-    assert set(kept[3]) <= set(kept[2]) and {r.doc_id for r in now.select("doc_id").distinct().collect()} == set(kept[3])
-    ids = {i: [*x, 1] for (i, _), x in zip(sorted(kept[3].items()), plain_ids([t for _, t in sorted(kept[3].items())]))}
-    want = collections.defaultdict(list, {i: [x] for i, x in ids.items()})
-    check_pieces(now.collect(), want, 2048)
-
-
 def plain_shingles(text):
     parts = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(parts[i : i + 5]) for i in range(max(1, len(parts) - 4))} if parts else set()
@@ -602,26 +578,63 @@ def test_near_dedup_stage_finds_similarity(spark):
     assert sorted(x for x in kept if x is not None) == sorted({c for c in got.values()}) and kept.count(None) == 2
 
 
-def test_pipeline_by_similarity(spark):
-    """The whole pipeline, its near-duplicates by brute-force Jaccard of five-word shingles."""
+def edge_documents(spark):
+    """The smallest table with rows that each stage must take: nulls, empty and long texts, repeated rows, extra columns of clashing names."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    prose = next(r.text for r in quality.keep_good(docs).orderBy("doc_id").collect())
+    long = " ".join(prose.split() + [f"the word{i} of" for i in range(30_000)])
+    rows = [(None, None, None, None, None), (10**6, "", "", "", 0), (10**6 + 1, long, "en", "a", len(long)), (10**6 + 2, prose, None, None, None), (10**6 + 2, prose, None, None, None), (None, prose, "en", "a", 1)]
+    rows += [(10**6 + 3, prose + " token = 'abcdefghijklmnop1'", "en", "a", 7), (10**6 + 4, "ünïcode " * 80, "xx", "b", 7)]
+    d = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    return d.withColumns({c: F.lit("clash") for c in ("node", "root", "queue", "_row", "_t", "tokens", "topic", "_verdict", "n")})
+
+
+@pytest.mark.parametrize("edges", [False, True])
+def test_pipeline(spark, edges):
+    """The whole pipeline against a plain version, its near-duplicates by brute-force Jaccard of five-word shingles."""
     import corpus_pipeline as P
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = edge_documents(spark) if edges else spark.read.parquet(f"{SF}/documents.parquet")
     now, kept = docs, []
     for k, (_, stage) in enumerate(P.STAGES):
         now = Scratch(spark, "t").write(stage(spark, now, SF), f"s{k}")
         if k < len(P.STAGES) - 1:
             assert now.columns == docs.columns
-            kept.append({r.doc_id: r.text for r in now.select("doc_id", "text").collect()})
-    first = sorted(kept[0])
-    sets = {i: plain_shingles(kept[0][i]) for i in first}
-    root = {i: i for i in first}
-    for n, i in enumerate(first):
-        for j in first[n + 1 :]:
+            kept.append([(r.doc_id, r.text) for r in now.select("doc_id", "text").collect()])
+    good = quality.judge(docs).where("_verdict.kept").select("_row.doc_id", "_row.text")
+    assert sorted(kept[0], key=str) == sorted(map(tuple, good.collect()), key=str)
+    first = sorted({x for x in kept[0] if x[0] is not None})
+    sets = [plain_shingles(t) for _, t in first]
+    root = list(range(len(first)))
+    for i in range(len(first)):
+        for j in range(i + 1, len(first)):
             if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                x, y = root[i], root[j]
-                root |= {k: min(x, y) for k, r in root.items() if r in (x, y)}
-    assert set(kept[1]) == set(root.values())
-    assert set(kept[2]) == set(kept[1]) and set(kept[3]) <= set(kept[2])
-    ids = {i: [*x, 1] for (i, _), x in zip(sorted(kept[3].items()), plain_ids([t for _, t in sorted(kept[3].items())]))}
-    check_pieces(now.collect(), collections.defaultdict(list, {i: [x] for i, x in ids.items()}), 2048)
+                x, y = sorted((root[i], root[j]))
+                root = [x if r == y else r for r in root]
+    assert sorted(kept[1], key=str) == sorted([first[r] for r in set(root)] + [x for x in kept[0] if x[0] is None], key=str)
+    assert [i for i, _ in sorted(kept[2], key=str)] == [i for i, _ in sorted(kept[1], key=str)]
+    before = dict(kept[1])
+    for i, t in kept[2]:
+        assert not plain_spans(t) and (t == before[i] or "[SECRET]" in t)
+    assert set(kept[3]) <= set(kept[2])
+    want = collections.defaultdict(list)
+    for (i, _), x in zip(kept[3], plain_ids([t for _, t in kept[3]])):
+        want[i].append([*x, 1])
+    check_pieces(now.collect(), want, 2048)
+
+
+def test_pipeline_stages_take_empty_tables(spark):
+    import corpus_pipeline as P
+
+    now = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in P.STAGES:
+        now = stage(spark, now, SF)
+        assert now.count() == 0
+
+
+def test_near_dedup_keeps_one_of_repeated_rows(spark):
+    prose, other = " ".join(f"w{i}" for i in range(90)), " ".join(f"v{i}" for i in range(90))
+    rows = [(1, prose, "x"), (1, prose, "x"), (2, prose + " end", "y"), (3, other, "z"), (3, other, "a"), (3, prose, "b"), (None, prose, "c"), (None, prose, "c"), (4, None, "d"), (4, "", "d")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    kept = sorted(map(tuple, similar.one_of_each(d).collect()), key=str)
+    assert [x[:2] for x in kept] == sorted([(1, prose), (3, other), (None, prose), (None, prose), kept[3][:2] if kept[3][0] == 4 else (4, None)], key=str)
