@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -137,6 +138,10 @@ def _first_at_or_after(grams: np.ndarray, least: np.ndarray) -> np.ndarray:
 ROWS, FILE_ROWS = 128, 1 << 22
 #: Kinds of an anchor's runs that one task compares at once; anchors with more are taken apart row by row.
 KINDS = 20_000
+#: A kind of run with more occurrences is looked up apart from the others.
+OFTEN = 10_000
+#: Most tasks that files are dealt to.
+TASKS = 20_000
 
 
 def _code(seq: int, first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -221,8 +226,10 @@ class _Texts:
         return self.rows[seq % ROWS].as_py()
 
 
-def _contexts(runs: DataFrame, root: str, length: int) -> DataFrame:
-    """Pass 2. (anchor, file, code, bytes): the bytes that a run's windows cover."""
+def _contexts(runs: DataFrame, root: str, length: int, tasks: int) -> DataFrame:
+    """Pass 2. (anchor, file, code, bytes): the bytes that a run's windows cover.
+
+    Files are dealt out by their number: the rows that ask for their texts say nothing of their size."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = _Texts(root)
@@ -235,7 +242,7 @@ def _contexts(runs: DataFrame, root: str, length: int) -> DataFrame:
                     out.append(texts.get(file, code >> 41)[first : first + (code & 511) + length])
                 yield pa.record_batch([some.column("anchor"), some.column("file"), some.column("code"), pa.array(out, pa.binary())], names=["anchor", "file", "code", "bytes"])
 
-    rows = runs.select("anchor", "file", "code").repartition("file").sortWithinPartitions("file", "code")
+    rows = runs.select("anchor", "file", "code").repartition(tasks, "file").sortWithinPartitions("file", "code")
     return rows.mapInArrow(each, "anchor long, file long, code long, bytes binary")
 
 
@@ -298,18 +305,21 @@ def _shared_one_by_one(contexts: DataFrame, length: int, scratch: Scratch) -> Da
 
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for anchor, file, code, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "file", "code", "bytes"))):
-                w = _windows(raw, length)
-                n = len(w)
-                first = (code >> 9 & 0xFFFFFFFF) + np.arange(n)
-                yield pa.record_batch([pa.array(np.full(n, anchor)), pa.array(w.view(np.int64)), pa.array(np.full(n, file)), pa.array(np.full(n, code >> 41)), pa.array(first)], names=["anchor", "window", "file", "seq", "first"])
+            for at in range(0, len(batch), 256):
+                some = batch.slice(at, 256)
+                w = [_windows(x, length) for x in some.column("bytes").to_pylist()]
+                run = np.repeat(np.arange(len(some)), [len(x) for x in w])
+                nth = np.arange(len(run)) - np.concatenate([[0], np.cumsum([len(x) for x in w])])[run]
+                anchor, file, code = (some.column(c).to_numpy()[run] for c in ("anchor", "file", "code"))
+                yield pa.record_batch([pa.array(x) for x in (anchor, np.concatenate(w).view(np.int64), file, code >> 41, (code >> 9 & 0xFFFFFFFF) + nth)], names=["anchor", "window", "file", "seq", "first"])
 
     windows = scratch.write(contexts.mapInArrow(apart, "anchor long, window long, file long, seq long, first long"), "windows")
-    twice = windows.groupBy("anchor", "window").count().where("count > 1").select("anchor", "window")
+    # A window is hot where many kinds hold it; counts are combined before the exchange, and the join's skew is Spark's to split.
+    twice = scratch.write(windows.groupBy("anchor", "window").count().where("count > 1").select("anchor", "window"), "twice")
     return windows.join(twice, ["anchor", "window"], "left_semi").select("file", "seq", "first", F.col("first").alias("last"))
 
 
-def repeated_runs(texts: DataFrame, root: str, length: int, scratch: Scratch) -> DataFrame:
+def repeated_runs(texts: DataFrame, root: str, length: int, scratch: Scratch, tasks: int) -> DataFrame:
     """(file, seq, first, last) of runs of windows that occur elsewhere; runs may touch or overlap."""
     runs = texts.where("size(code) > 0").select("file", F.explode(F.arrays_zip("code", "anchor", "whole")).alias("r")).select("file", "r.*")
     # Anchors that occur twice or more, and whether all their runs are of one kind.
@@ -319,14 +329,18 @@ def repeated_runs(texts: DataFrame, root: str, length: int, scratch: Scratch) ->
     again = scratch.write(runs.join(met, "anchor"), "again")
     mixed = again.where("mixed")
     kinds = scratch.write(mixed.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("file", "code")).alias("r")), "kinds")
-    whole = again.where("NOT mixed").select("file", "code").unionByName(mixed.join(kinds.where("n > 1"), ["anchor", "whole"], "left_semi").select("file", "code"))
+    # The few kinds that occur very often are met by a join of their own, so that none of them is a hot key of the other.
+    often = scratch.write(kinds.where(F.col("n") > OFTEN).select("anchor", "whole"), "often")
+    key = ["anchor", "whole"]
+    rest = mixed.join(often, key, "left_anti").join(kinds.where((F.col("n") > 1) & (F.col("n") <= OFTEN)), key, "left_semi")
+    whole = reduce(DataFrame.unionByName, (d.select("file", "code") for d in (again.where("NOT mixed"), mixed.join(often, key, "left_semi"), rest)))
     first = F.shiftright("code", 9).bitwiseAND(F.lit(0xFFFFFFFF))
     whole = whole.select("file", F.shiftright("code", 41).alias("seq"), first.alias("first"), (first + F.col("code").bitwiseAND(F.lit(511))).alias("last"))
     many = scratch.write(kinds.groupBy("anchor").count().where(F.col("count") > KINDS).select("anchor"), "many")
     reps = kinds.select("anchor", "r.file", "r.code")
-    found = whole.unionByName(_shared_in_groups(_contexts(reps.join(many, "anchor", "left_anti"), root, length), length))
+    found = whole.unionByName(_shared_in_groups(_contexts(reps.join(many, "anchor", "left_anti"), root, length, tasks), length))
     if many.limit(1).count():
-        found = found.unionByName(_shared_one_by_one(_contexts(reps.join(many, "anchor", "left_semi"), root, length), length, scratch))
+        found = found.unionByName(_shared_one_by_one(_contexts(reps.join(many, "anchor", "left_semi"), root, length, tasks), length, scratch))
     return found
 
 
@@ -344,8 +358,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kept
     scratch = Scratch(docs.sparkSession, "repeats")
     root = scratch.path("bytes")
     texts = scratch.write(write_texts(docs, root, length, gram), "texts")
-    found = scratch.write(repeated_runs(texts, root, length, scratch), "found")
-    scratch.drop("met", "again", "kinds", "windows")
+    files = texts.where("seq IS NOT NULL").select("file").distinct().count()
+    tasks = max(1, min(TASKS, 2 * files))
+    found = scratch.write(repeated_runs(texts, root, length, scratch, tasks), "found")
+    scratch.drop("met", "again", "kinds", "often", "many", "windows", "twice")
     # A document's own runs meet here, and no others.
     spans = found.groupBy("file", "seq").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("s"))
     rows = texts.select("file", "seq", "doc_id", "n_bytes", "sha256").join(spans, ["file", "seq"], "left")
@@ -373,7 +389,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kept
 
     kind = dict(docs.dtypes)["doc_id"]
     # Short texts have no file; they are dealt out by their hashes instead.
-    dealt = rows.repartition(F.when(F.col("seq").isNull(), F.xxhash64("sha256")).otherwise(F.col("file"))).sortWithinPartitions("file", "seq")
+    dealt = rows.repartition(tasks, F.when(F.col("seq").isNull(), F.xxhash64("sha256")).otherwise(F.col("file"))).sortWithinPartitions("file", "seq")
     return dealt.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept binary")
 
 
