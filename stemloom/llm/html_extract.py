@@ -1,269 +1,435 @@
 """Main text of web pages: the maximum-scoring subsequence of a page's words and tags.
 
-A page is read as a sequence of words, each scoring +1, and tags, each scoring below zero by how
-seldom labelled pages have it inside their content. One linear scan finds the contiguous region of
-the largest sum. Text of elements that are never part of an article (menus, footers, forms,
-adverts, comments ..., by element or by the words of class, id and role) scores nothing and is left
-out of the region's blocks; but an element that turns out to hold the page (a form around everything,
-a wrapper named like furniture) is not, nor is an article or main element inside one.
+A page is read as a sequence of words and tags. Words score positive and tags negative, and one
+linear scan finds the contiguous region of the largest sum; its blocks are the text. All weights are
+learned from labelled pages: how much a tag costs from how seldom it stands inside content, and how
+much a word counts from its block elements, by a logistic regression on their tags, the words of their
+class, id and role, and how much and what text they hold. Words of an element that is more likely
+furniture (a menu, an advert, comments) count as little as the page's markup does, and it is left out
+of the region where it lies inside it. No rule names what is furniture; the only fixed lists are of
+elements that hold no text, need no end or stand inside a line.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 from functools import lru_cache
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemloom.llm.labelled_pages import PAGES
+from stemloom.llm import labelled_pages
 
-#: A comment, a declaration, or a tag with its attributes; quoted values may hold ">".
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_HINTS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_PLAIN = re.compile(r"""[^>"']*""")
+_HINTS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-#: Their content is no markup.
-_RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+_MARKS = re.compile(r"[.,;:!?]")
+# Fixed values of the markup language: elements whose content is no text, elements without content, elements inside a line.
+_RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg canvas object audio video select".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-#: Elements that are no part of an article.
-_APART = frozenset("nav footer aside form button select option fieldset dialog menu noscript template head svg canvas object audio video".split())
-_HOLDERS = frozenset("html body main article".split())
-_APART_WORDS = frozenset(
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs masthead topbar footer sidebar aside widget ad ads adv advert adverts advertisement "
-    "advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription "
-    "signup login search form share sharing social related recommended recommendations comment comments disqus reply replies respond pagination pager "
-    "copyright legal toolbar contentinfo complementary alert dialog skip".split()
-)
-_CONTENT_WORDS = frozenset("article content entry main post story text".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: What follows them in a name ("has-sidebar", "no-ads") tells of the layout around an element's content.
 _MODIFIERS = frozenset("has have with without no".split())
-#: A name with one of them ("search-page") is of a whole page.
-_PAGE_WORDS = frozenset("page layout site template".split())
-#: Named so, an element is furniture however much it holds.
-_NEVER_WORDS = frozenset("comment comments disqus reply replies respond related recommended recommendations cookie cookies consent gdpr".split())
-
-
-def _words(attributes: str) -> set[str]:
+#: Words of furniture cost at most so much, whatever its length: content on both sides of it can be one region.
+CROSSING = 20.0
+#: Below this chance of content an element is left out at the first look.
+SURE = 0.02
+#: Fewer words than that are no content of a page.
+FEW_WORDS = 2
+#: Pages of each family that weights are learned from, and the penalty on squared log-odds.
+PAGES, PENALTY = 60, 0.1
+TEXT, TAG, MARK = 0, 1, 2
+
+
+@dataclass
+class Element:
+    name: str
+    words: frozenset[str]
+    hidden: bool
+    begin: int
+    end: int = -1
+    n: int = 0
+    linked: int = 0
+    marks: int = 0
+    titles: int = 0
+    paragraphs: int = 0
+    page: int = 0
+    alike: int = 0
+    main: str = "none"
+
+
+@dataclass
+class Page:
+    """Tokens (kind, value, element of the tag or None) in page order, and the block elements."""
+
+    tokens: list[tuple[int, str]] = field(default_factory=list)
+    elements: list[Element] = field(default_factory=list)
+
+
+def _name_words(attributes: str) -> frozenset[str]:
     """The words of class, id and role, without those that only tell of the layout."""
     words: set[str] = set()
     for found in _HINTS.findall(attributes):
         for name in "".join(found).split():
-            parts = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
-            if _PAGE_WORDS.isdisjoint(parts):
-                words.update(parts[: next((i for i, x in enumerate(parts) if x in _MODIFIERS), len(parts))])
-    return words
-
-
-def _apart(name: str, attributes: str, in_article: bool) -> int:
-    """0, or 1 for an element that is no part of an article; 2 where it may yet hold the page's text."""
-    if name in _HOLDERS:
-        return 0
-    if (name in _APART and name != "form") or (name == "header" and not in_article):
-        return 1
-    if not attributes or attributes.isspace():
-        return 2 if name == "form" else 0
-    if _HIDDEN.search(attributes):
-        return 1
-    words = _words(attributes)
-    if words & _APART_WORDS and (name == "form" or not words & _CONTENT_WORDS):
-        return 1 if words & _NEVER_WORDS else 2
-    if name == "form":
-        return 2
-    return 2 if "header" in words and not in_article else 0
-
-
-def _spared(seen: list[tuple], rest: int) -> frozenset[int]:
-    """Which elements that ``pieces`` took for furniture, or inside it, hold the page's text.
-
-    seen: (position, kind, words, words of the outermost element apart); rest: words outside of any.
-    A wrapper does if it holds over half of all words outside of plain furniture (over a quarter, if it
-    is in no other), and four times the rest; an article or main element does if it holds over half of its wrapper, and more than the rest.
-    All wrappers do where nothing else is left."""
-    total = rest + seen[-1][2]
-    wrapper = {at for at, kind, words, outer in seen if kind == 2 and (4 if words == outer else 2) * words > total and words > 4 * rest}
-    found = wrapper | {at for at, kind, words, outer in seen if kind == 0 and 2 * words > outer and words > rest}
-    return frozenset(found if found or rest else {at for at, kind, *_ in seen if kind == 2})
-
-
-def pieces(html: str, spared: frozenset[int] = frozenset(), seen: list[tuple] | None = None) -> Iterator[tuple[str, str, bool]]:
-    """(kind, value, apart): ``text`` or ``@text`` with raw characters, or ``tag`` with its name, in page order.
-
-    Text and tags inside an article or main element are marked by "@": pages that mark their article up
-    have other tags there than elsewhere. Elements that begin at a position in ``spared`` are not apart;
-    ``seen`` gets those that could be, and at last the words of all elements apart."""
-    at, stack, apart, article = 0, [], 0, 0
-    size = len(html)
-    hard = words = outer = 0  # depth of plain furniture, words outside of it, those before the outermost element apart
-    held: list[tuple] = []  # candidates inside the outermost element apart
-
-    def ended(start: int, kind: int, before: int) -> None:
-        """An element that could be spared, or the outermost one apart, ends."""
-        if start >= 0:
-            held.append((start, kind, words - before))
-        if not apart:
-            seen.extend((*h, words - outer) for h in held)
-            held.clear()
-
-    while at < size:
-        m = _MARKUP.search(html, at)
-        # A "<" that begins no markup is text.
-        upto = m.start() if m else size
-        if upto > at:
-            if seen is not None and apart and not hard:
-                words += len(html[at:upto].split())
-            yield "@text" if article else "text", html[at:upto], apart > 0
-        if not m:
+            parts = [x for x in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if x]
+            words.update(parts[: next((i for i, x in enumerate(parts) if x in _MODIFIERS), len(parts))])
+    return frozenset(words)
+
+
+class _Ends:
+    """Where tags end, in time linear in the page: ">" outside of quotes, or the first ">" where quotes are not closed."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.last = {c: html.rfind(c) for c in "\"'>"}
+        self.failed: set[int] = set()  # places outside of quotes from which no ">" follows
+
+    def of(self, at: int) -> int:
+        if self.last[">"] < at:
+            return -1
+        start, seen = at, []
+        while at not in self.failed:
+            seen.append(at)
+            stop = _PLAIN.match(self.html, at).end()
+            if stop >= len(self.html):
+                break
+            c = self.html[stop]
+            if c == ">":
+                return stop + 1
+            if self.last[c] <= stop:
+                break
+            at = self.html.index(c, stop + 1) + 1
+        self.failed.update(seen)
+        return self.html.index(">", start) + 1
+
+
+def parse(html: str) -> Page:
+    """Text (raw) and tags of a page; a "<" that begins no markup is text."""
+    page, size, at, begin = Page(), len(html), 0, 0
+    ends, stack, links = _Ends(html), [], 0
+    n = linked = marks = titles = paragraphs = 0
+
+    def text(upto: int) -> None:
+        nonlocal n, linked, marks
+        if upto > begin:
+            raw = html[begin:upto]
+            k = len(raw.split())
+            n, linked, marks = n + k, linked + (k if links else 0), marks + (len(_MARKS.findall(raw)) if k else 0)
+            page.tokens.append((TEXT, raw, k))
+
+    def close(item) -> None:
+        e, before = item
+        if e is not None:
+            e.end = len(page.tokens)
+            e.n, e.linked, e.marks, e.titles, e.paragraphs = (x - y for x, y in zip((n, linked, marks, titles, paragraphs), before))
+
+    while True:
+        lt = html.find("<", at)
+        if lt < 0:
+            text(size)
             break
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
-            if m[0] in ("<!--[-->", "<!--]-->"):
-                yield "mark", m[0], apart > 0
+        if html.startswith("<!--", lt):
+            end = html.find("-->", lt + 4)
+            text(lt)
+            if html.startswith((labelled_pages.OPEN, labelled_pages.CLOSE), lt):
+                page.tokens.append((MARK, html[lt : lt + 8], 0))
+            at = begin = size if end < 0 else end + 3
+            continue
+        if html.startswith(("<!", "<?"), lt):
+            end = html.find(">", lt) + 1 if ends.last[">"] > lt else -1
+            if end < 0:
+                at = lt + 1
+                continue
+            text(lt)
+            at = begin = end
+            continue
+        m = _NAME.match(html, lt)
+        end = ends.of(m.end()) if m else -1
+        if end < 0:
+            at = lt + 1
             continue
+        text(lt)
+        at = begin = end
+        name, attributes = m[2].lower(), html[m.end() : end - 1]
         if m[1]:
-            if any(x[0] == name for x in stack):
+            if any(x == name for x, _ in stack):
                 while True:
-                    x, off, kind, start, before = stack.pop()
-                    apart -= off
-                    hard -= kind == 1
-                    if seen is not None and (off or start >= 0):
-                        ended(start, kind, before)
-                    article -= x in ("article", "main")
+                    x, item = stack.pop()
+                    links -= x == "a"
+                    close(item)
                     if x == name:
                         break
         elif name in _RAW:
-            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(html, at)
-            at = end.end() if end else size
+            found = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(html, end)
+            at = begin = found.end() if found else size
+            continue
+        elif name not in _VOID and not attributes.endswith("/"):
+            e = None
+            if name not in _INLINE:
+                e = Element(name, _name_words(attributes) if attributes.strip() else frozenset(), bool(attributes and _HIDDEN.search(attributes)), len(page.tokens))
+                page.elements.append(e)
+            stack.append((name, (e, (n, linked, marks, titles, paragraphs))))
+            titles += name == "h1"
+            paragraphs += name == "p"
+            links += name == "a"
+        page.tokens.append((TAG, name, 0))
+    while stack:
+        close(stack.pop()[1])
+    named = max((e for e in page.elements if e.name in ("main", "article")), key=lambda e: e.n, default=None)
+    for e in page.elements:
+        e.page = n
+        if named is not None:
+            where = "holds" if e.begin < named.begin and e.end >= named.end else "in" if named.begin <= e.begin < named.end else "out"
+            e.main = f"{where}-{_bin(named.n / max(1, n), 0.1, 0.4)}"
+    _count_alike(page.elements)
+    return page
+
+
+def _count_alike(elements: list[Element]) -> None:
+    """``alike``: the words of all elements of an element's tag and name; of itself if it has no name."""
+    total: Counter = Counter()
+    for e in elements:
+        total[e.name, e.words] += e.n
+    for e in elements:
+        e.alike = min(e.page, total[e.name, e.words]) if e.words else e.n
+
+
+def _bin(value: float, *edges: float) -> int:
+    return sum(value >= x for x in edges)
+
+
+def features(e: Element) -> Iterator[str]:
+    """What an element is judged by: tag, name words, share of the page's words, links, sentences, size, and
+    how it lies to the largest main or article element."""
+    share = _bin(e.n / max(1, e.page), 0.02, 0.1, 0.3, 0.5, 0.75)
+    wide = "wide-" * (e.alike >= 0.6 * e.page)  # a name tells other things of elements that hold the page
+    yield f"share:{share}"
+    yield f"alike:{_bin(e.alike / max(1, e.page), 0.3, 0.6, 0.85) if e.words else 'no'}"
+    yield f"{wide}tag:{e.name}"
+    for w in e.words:
+        yield f"{wide}word:{w}"
+    yield f"links:{(linked := _bin(e.linked / max(1, e.n), 0.01, 0.2, 0.5, 0.8))}"
+    yield f"marks:{_bin(e.marks / max(1, e.n), 0.01, 0.05, 0.1)}"
+    yield f"size:{_bin(e.n, 5, 15, 50, 200)}"
+    yield f"main:{e.main}"
+    yield f"titles:{min(e.titles, 2)}"
+    yield f"paragraphs:{_bin(e.paragraphs, 1, 3, 8)}"
+    yield f"share-links:{share}-{linked}"
+    yield f"named:{len(e.words) > 0}-{wide}{share}"
+
+
+@dataclass
+class Weights:
+    """Log-odds of content by feature, for two looks at a page, and cost of each tag.
+
+    The second look leaves out of all counts what the first took for furniture beyond doubt, so that a
+    long discussion makes no article look small."""
+
+    odds: list[dict[str, float]]
+    cost: dict[str, float]
+    other: float
+    least: float = 0.5
+
+    def content(self, e: Element, look: int = 1) -> float:
+        """How likely an element holds content."""
+        if e.hidden:
+            return 0.0
+        odds = self.odds[look]
+        z = odds[""] + sum(odds.get(f, 0.0) for f in features(e))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+    def furniture(self, page: Page) -> list[Element]:
+        """The outermost elements that hold no content. Where they would leave next to nothing, the likeliest of them is content after all."""
+        sure = _outermost(page.elements, lambda e: self.content(e, 0) < SURE)
+        left = _without(page, sure)
+        more = _outermost(left, lambda e: self.content(e) < self.least)
+        rest = (page.elements[0].page if page.elements else 0) - sum(e.n for e in sure)
+        while more and rest - sum(e.n for e in more) < FEW_WORDS:
+            more.remove(max(more, key=lambda e: (self.content(e), e.n)))
+        return sure + more
+
+
+def _outermost(elements: list[Element], wanted: Callable[[Element], bool]) -> list[Element]:
+    """Of the wanted elements those inside no other; elements come in the order in which they begin."""
+    out, upto = [], 0
+    for e in elements:
+        if e.n and e.begin >= upto and wanted(e):
+            out.append(e)
+            upto = e.end
+    return out
+
+
+def _without(page: Page, gone: list[Element], itself: bool = False) -> list[Element]:
+    """The elements that lie in none of ``gone``, with counts of what lies in none; with ``itself`` those of ``gone`` as well, with their own counts."""
+    if not gone:
+        return page.elements
+    first, last = [e.begin for e in gone], [e.end for e in gone]
+    counts = lambda e: (e.n, e.linked, e.marks, e.titles, e.paragraphs)
+    sums = [(0,) * 5]
+    for e in gone:
+        sums.append(tuple(x + y for x, y in zip(sums[-1], counts(e))))
+    out, n = [], sums[-1][0]
+    for e in page.elements:
+        i, j = bisect_right(first, e.begin), bisect_left(first, e.end)
+        if i and last[i - 1] > e.begin:  # one of them, or inside one
+            if itself and e is gone[i - 1]:
+                out.append(replace(e, page=e.page - n + e.n))
             continue
-        elif name not in _VOID and not m[3].endswith("/"):
-            if name == "body":  # a head that was left open ends here
-                apart -= sum(x[1] for x in stack if x[0] == "head")
-                hard -= sum(x[2] == 1 for x in stack if x[0] == "head")
-                stack = [(x[0], 0, 3, -1, 0) if x[0] == "head" else x for x in stack]
-            kind = _apart(name, m[3], article > 0)
-            inner = not kind and apart > 0 and not hard and name in ("article", "main") and not _words(m[3]) & _APART_WORDS
-            start = m.start() if (kind == 2 or inner) and not hard else -1
-            if start in spared:
-                off, kind = (-apart if inner else 0), 3
-            else:
-                off, kind = int(kind > 0), kind if kind or inner else 3
-            if off > 0 and not apart:
-                outer = words
-            stack.append((name, off, kind, start, words))
-            apart += off
-            hard += kind == 1
-            article += name in ("article", "main")
-        yield "tag", f"@{name}" if article and name not in _HOLDERS else name, apart > 0
-    if seen is not None:
-        while stack:  # elements left open end with the page
-            _, off, kind, start, before = stack.pop()
-            apart -= off
-            if off or start >= 0:
-                ended(start, kind, before)
-        seen.append((-1, -1, words, words))
-
-
-@lru_cache(1)
-def weights() -> dict[str, float]:
-    """Score of each tag, from the labelled pages.
-
-    A tag's share outside content, smoothed, times a factor; the factor is the one under which the
-    scan best finds the labelled content (by words, least factor on ties)."""
+        left = (x - (z - y) for x, y, z in zip(counts(e), sums[i], sums[j]))
+        out.append(replace(e, page=e.page - n, **dict(zip(("n", "linked", "marks", "titles", "paragraphs"), left))))
+    _count_alike(out)
+    return out
+
+
+def _labels(page: Page) -> list[int]:
+    """For each token 1 inside the marked content, else 0."""
+    out, inside = [], 0
+    for kind, value, _ in page.tokens:
+        if kind == MARK:
+            inside = int(value == labelled_pages.OPEN)
+        out.append(inside)
+    return out
+
+
+def _fitted(rows: list[list[str]], target: list[float]) -> dict[str, float]:
+    """Logistic regression on features that occur three times or more."""
+    seen = Counter(f for r in rows for f in r)
+    place = {f: i + 1 for i, f in enumerate(sorted(f for f, k in seen.items() if k >= 3))}
+    x = np.zeros((len(rows), len(place) + 1))
+    x[:, 0] = 1
+    for i, r in enumerate(rows):
+        x[i, [place[f] for f in r if f in place]] = 1
+    y, w = np.array(target), np.zeros(x.shape[1])
+    for _ in range(12):  # Newton's steps, with a penalty that keeps rare features small
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + PENALTY * np.eye(len(w))
+        w += np.linalg.solve(hessian, x.T @ (y - p) - PENALTY * w)
+    return {"": float(w[0])} | {f: float(w[i]) for f, i in place.items()}
+
+
+@lru_cache(2)
+def weights(families: tuple[int, ...] = labelled_pages.FITTED) -> Weights:
+    """Learned from the labelled pages of the families.
+
+    An element is furniture if none of its words are content. A tag's cost is its share outside content, times a factor;
+    the factor and the chance of content below which an element is left out are those under which the
+    extracted words are best (the first on ties)."""
+    data = [parse(h) for h in labelled_pages.pages(families, PAGES)]
+    labels = [_labels(p) for p in data]
     inside, outside = Counter(), Counter()
-    for page in PAGES:
-        within = False
-        for kind, value, apart in pieces(page):
-            if kind == "mark":
-                within = value == "<!--[-->"
-            elif kind == "tag" and not apart:
-                (inside if within else outside)[value] += 1
-    share = {t: (outside[t] + 0.2) / (inside[t] + outside[t] + 1.2) for t in inside | outside}
-    share |= {mark: (sum(outside[t] for t in share if t[:1] == mark) + 0.2) / (sum((inside + outside)[t] for t in share if t[:1] == mark) + 1.2) for mark in "@"}
-    best = (-1.0, {})
-    for factor in (0.25, 0.5, 1, 1.5, 2, 3, 4, 6, 8):
-        found = {"": -factor * 0.5} | {t: -factor * s for t, s in share.items()}
-        hit = said = want = 0
-        for page in PAGES:
-            inner = page[page.index("<!--[-->") : page.index("<!--]-->")]
-            a = Counter(" ".join(blocks(inner, None)).split())
-            b = Counter(" ".join(blocks(page, found)).split())
-            hit, said, want = hit + (a & b).total(), said + b.total(), want + a.total()
-        f1 = 2 * hit / (said + want)
-        if f1 > best[0] + 1e-9:
-            best = (f1, found)
+    found = Weights([], {}, 0.5)
+    for look in (0, 1):
+        rows, target = [], []
+        for page, label in zip(data, labels):
+            words = np.cumsum([0] + [k * y for (_, _, k), y in zip(page.tokens, label)])
+            elements = page.elements if look == 0 else _without(page, _outermost(page.elements, lambda e: found.content(e, 0) < SURE), True)
+            upto = 0
+            for e in elements:
+                if e.n and e.begin >= upto:
+                    rows.append(list(features(e)))
+                    target.append(float(words[e.end] > words[e.begin]))
+                    upto = upto if target[-1] else e.end  # what lies in furniture shows nothing of its own
+        found.odds.append(_fitted(rows, target))
+    for page, label in zip(data, labels):
+        _, apart = token_scores(page, found)
+        for (kind, name, _), y, off in zip(page.tokens, label, apart):
+            if kind == TAG and not off:  # the scan has to tell apart what is left
+                (inside if y else outside)[name] += 1
+    share = {t: (outside[t] + 0.5) / (inside[t] + outside[t] + 1) for t in inside | outside}
+    best = (-1.0, found)
+    for factor in (0.25, 1, 4):
+        for least in (0.5, 0.3, 0.15):
+            tried = Weights(found.odds, {t: factor * s for t, s in share.items()}, factor * 0.5, least)
+            if (f1 := score(data, tried)) > best[0] + 1e-9:
+                best = (f1, tried)
     return best[1]
 
 
-def blocks(html: str, scores: dict[str, float] | None) -> list[str]:
-    """The text of each block in the best region (of the whole page without ``scores``), decoded, in page order."""
-    done: list[tuple[int, str]] = []  # (position of its first word, text)
-    held: list[str] = []
-    at, first = 0, 0
+def score(data: list[Page], by: Weights | None) -> float:
+    """Mean over the pages of F1 of extracted against labelled words."""
+    out = []
+    for page in data:
+        a = Counter(w for (kind, value, _), y in zip(page.tokens, _labels(page)) if kind == TEXT and y for w in unescape(value).split())
+        b = Counter(" ".join(region(page, by)).split())
+        out.append(2 * (a & b).total() / max(1, a.total() + b.total()))
+    return sum(out) / max(1, len(out))
+
+
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """[from, to) of the contiguous stretch of the largest sum, the first of equal ones; empty if no sum is positive."""
     total = best = 0.0
-    begin, span = 0, (0, -1)
-    other, inner = (scores.get("", -1.0), scores.get("@", -0.1)) if scores else (0.0, 0.0)
+    begin, span = 0, (0, 0)
+    for i, s in enumerate(scores):
+        if total <= 0:
+            total, begin = 0.0, i
+        total += s
+        if total > best:
+            best, span = total, (begin, i + 1)
+    return span
+
+
+def token_scores(page: Page, by: Weights) -> tuple[list[float], list[bool]]:
+    """Each token's score, and whether it lies in furniture."""
+    furniture = [0] * (len(page.tokens) + 1)
+    for e in by.furniture(page):
+        furniture[e.begin] += 1
+        furniture[e.end] -= 1
+    scores, apart, depth, crossed = [], [], 0, 0.0
+    for i, (kind, value, k) in enumerate(page.tokens):
+        depth += furniture[i]
+        apart.append(depth > 0)
+        if depth <= 0:
+            crossed = 0.0
+            scores.append(float(k) if kind == TEXT else -by.cost.get(value, by.other) if kind == TAG else 0.0)
+        else:  # words and tags of furniture cost alike, up to a bound
+            cost = min(float(k) if kind == TEXT else by.cost.get(value, by.other), CROSSING - crossed)
+            crossed += cost
+            scores.append(-cost)
+    return scores, apart
+
+
+def region(page: Page, by: Weights | None, scan: bool = True, drop: bool = True) -> list[str]:
+    """The text of each block of the best region, decoded, in page order. Without ``by``, of the whole page.
+
+    scan, drop: for measurements, whether to look for the region, and to leave furniture out of it."""
+    scores, apart = token_scores(page, by) if by else ([], [False] * len(page.tokens))
+    first, last = best_region(scores) if by and scan else (0, len(page.tokens))
+    out, held, within = [], [], False
 
     def close() -> None:
-        if held:
+        nonlocal within
+        if held and within:
             text = " ".join(unescape("".join(held)).split())
-            held.clear()
             if text:
-                done.append((first, text))
-
-    seen: list[tuple] = []
-    found = list(pieces(html, seen=seen))
-    count = lambda which: sum(len(value.split()) for kind, value, apart in found if kind == which and not apart)
-    plain, own = count("text"), count("@text")
-    if spared := _spared(seen, plain + own):
-        found = list(pieces(html, spared))
-        plain, own = count("text"), count("@text")
-    # Where a page marks an article up, words outside of it can't be the article, unless it is a mere teaser.
-    marked = own > 0 and 2 * own >= plain
-    for kind, value, apart in found:
-        at += 1
-        if kind in ("text", "@text"):
-            if apart:
-                continue
-            words = len(value.split())
-            if scores is not None and words and (kind == "@text" or not marked):
-                if total <= 0:
-                    total, begin = 0.0, at
-                total += words
-                if total > best:
-                    best, span = total, (begin, at)
-            if not held:
-                first = at
+                out.append(text)
+        held.clear()
+        within = False
+
+    for i, (kind, value, k) in enumerate(page.tokens):
+        if drop and apart[i]:
+            close()
+        elif kind == TEXT:
             held.append(value)
-            if not words:
-                continue
-        elif kind == "tag":
-            name = value.removeprefix("@")
-            if name not in _INLINE or apart:
-                close()
-            elif name == "br" and held:
-                held.append(" ")
-            if scores is not None and not apart:  # what is left out costs nothing
-                total += scores.get(value, inner if value[0] == "@" else other)
+            within = within or (k > 0 and first <= i < last)  # a block that reaches into the region is part of it
+        elif kind == TAG and value == "br":
+            held.append(" ")
+        elif kind == TAG and value not in _INLINE:
+            close()
     close()
-    if scores is None:
-        return [t for _, t in done]
-    # A block belongs to the region if it begins there, or, begun before it, reaches into it.
-    starts = [s for s, _ in done]
-    out = []
-    for i, (s, text) in enumerate(done):
-        ends = starts[i + 1] - 1 if i + 1 < len(starts) else at
-        if s <= span[1] and ends >= span[0]:
-            out.append(text)
     return out
 
 
-def main_text(html: str | None) -> str:
-    return "\n\n".join(blocks(html or "", weights()))
+def main_text(html: str | None, by: Weights | None = None) -> str:
+    return "\n\n".join(region(parse(html or ""), by or weights()))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -271,12 +437,15 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Null, empty and word-less html give an empty text. Null ids and urls, repeated rows and other
     columns change nothing, as each row is taken alone; of two regions with equal sums the first
-    counts. An empty table gives no rows."""
+    counts. Very long pages are read in one pass. An empty table gives no rows."""
+    learned = weights()  # some hundred numbers, fitted once
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h) for h in batch.column("html").to_pylist()]
-            yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            for at in range(0, len(batch), 256):
+                some = batch.slice(at, 256)
+                texts = [main_text(h, learned) for h in some.column("html").to_pylist()]
+                yield pa.record_batch([some.column("page_id"), some.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = dict(pages.dtypes)["page_id"]
     rows = pages.select("page_id", F.col("url").cast("string"), F.col("html").cast("string"))

@@ -324,6 +324,34 @@ def test_extract_from_layouts(page):
     assert all(f"story{k}x{i}" in got for k in range(5) for i in range(40)) and "menuword" not in got
 
 
+def test_best_region_is_the_best_of_all():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        x = rng.choice([-3.0, -1.0, -0.5, 0.0, 1.0, 2.0, 5.0], rng.integers(0, 14)).tolist()
+        a, b = html_extract.best_region(x)
+        sums = [sum(x[i:j]) for i in range(len(x) + 1) for j in range(i, len(x) + 1)]
+        assert sum(x[a:b]) == max([0.0, *sums])
+
+
+def test_extraction_of_held_out_pages():
+    from stemloom.llm import labelled_pages
+
+    by = html_extract.weights()
+    pages = [html_extract.parse(h) for h in labelled_pages.pages(labelled_pages.HELD_OUT, 30, 2)]
+    assert html_extract.score(pages, by) >= 0.95
+    both = [html_extract.region(p, by) for p in pages]
+    assert sum(html_extract.region(p, by, drop=False) == x for p, x in zip(pages, both)) > len(pages) / 2  # the scan alone
+
+
+@pytest.mark.parametrize("page", ['<a "x ' * 170_000, '<a "x ' * 170_000 + ">", "<a 'x \" > " * 100_000, "<div>" * 200_000, "<" * 10**6, "<!--" * 250_000, "<script>x" * 110_000, "</p" * 330_000, "<p x='" + "a" * 10**6])
+def test_parsing_is_linear(page):
+    import time
+
+    began = time.perf_counter()
+    html_extract.main_text(page)
+    assert time.perf_counter() - began < 20  # about a second; minutes if quadratic
+
+
 @pytest.mark.parametrize("extra", [f"<div class=comments>{_BODY * 3}</div>".replace("story", "said"), "<div class=related><article>said few words</article></div>", "<form class=search>said <input></form>", "<aside><article>said it</article></aside>", "<div hidden><main>said</main></div>"])
 def test_extract_leaves_furniture_out(extra):
     got = html_extract.main_text(f"<html><body><div>{_BODY}</div>{extra}</body></html>")
