@@ -33,22 +33,18 @@ def reference(text: str, now: datetime) -> datetime:
     text = text.strip().lower()
     if not text or text == "now":
         return now
-    at, hour, minute = now, None, None
+    # A day without a time of day begins at midnight.
+    hour, minute = 0, 0
     if m := re.match(r"(\d{1,2}):(\d{2})(am|pm)?", text):
-        hour, minute = int(m[1]), int(m[2])
-        if m[3] == "pm" and hour < 12:
-            hour += 12
-        if m[3] == "am" and hour == 12:
-            hour = 0
+        hour, minute = (int(m[1]) + 12 * (m[3] == "pm")) % 24, int(m[2])
         text = text[m.end() :]
     elif m := re.match(r"(\d{1,2})(am|pm)", text):
-        hour, minute, text = int(m[1]) % 12 + 12 * (m[2] == "pm"), 0, text[m.end() :]
+        hour, text = int(m[1]) % 12 + 12 * (m[2] == "pm"), text[m.end() :]
     for word, h in (("noon", 12), ("midnight", 0), ("teatime", 16)):
         if text.startswith(word):
             hour, minute, text = h, 0, text[len(word) :]
     text = text.strip("_ ")
-    if hour is not None:
-        at = at.replace(hour=hour, minute=minute, second=0, microsecond=0)
+    at = now.replace(hour=hour, minute=minute, second=0, microsecond=0)
     if text in ("", "today"):
         return at
     if text == "yesterday":
@@ -60,7 +56,9 @@ def reference(text: str, now: datetime) -> datetime:
         return at.replace(year=year, month=int(m[1]), day=int(m[2]))
     if re.fullmatch(r"\d{8}", text):
         return at.replace(year=int(text[:4]), month=int(text[4:6]), day=int(text[6:]))
-    if text[:3] in _MONTHS and (m := re.search(r"(\d{1,2})$", text)):
+    if text[:3] in _MONTHS:
+        if not (m := re.search(r"(\d{1,2})$", text)):
+            raise ValueError(f"a month needs a day: {text!r}")
         return at.replace(month=_MONTHS.index(text[:3]) + 1, day=int(m[1]))
     if text[:3] in _DAYS:
         back = (int(at.strftime("%w")) - _DAYS.index(text[:3])) % 7
@@ -75,7 +73,9 @@ def parse_time(text: str, now: datetime | None = None, tz: tzinfo = timezone.utc
     if text.isdigit() and not (len(text) == 8 and 1900 < int(text[:4]) and int(text[4:6]) < 13 and int(text[6:]) < 32):
         return datetime.fromtimestamp(int(text), tz)
     if m := re.fullmatch(r"(\d{1,2}:\d{2})(\d{8})", text):
-        return reference(m[2], reference(m[1], now))
+        day = reference(m[2], now)
+        hour, minute = map(int, m[1].split(":"))
+        return day.replace(hour=hour, minute=minute)
     if m := re.fullmatch(r"([^+-]*)([+-].+)", text):
         return reference(m[1], now) + timedelta(seconds=offset_seconds(m[2]))
     return reference(text, now)

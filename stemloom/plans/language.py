@@ -6,7 +6,7 @@ another range of time evaluate their argument's tree again in a shifted context.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -151,6 +151,8 @@ class Context:
     end: int
     step: int = 60
     events: DataFrame | None = None
+    #: Frames that the targets have stacked so far, by the stack's name; shared by all contexts made of this one.
+    stacks: dict[str, list[DataFrame]] = field(default_factory=dict)
 
     def shifted(self, by: int) -> Context:
         return replace(self, start=self.start + by, end=self.end + by)
@@ -185,6 +187,7 @@ def evaluate(ctx: Context, node: Any) -> Any:
 
 def render(ctx: Context, *targets: str) -> DataFrame:
     """The targets' series, one list after the other."""
+    ctx = replace(ctx, stacks={})
     return S.group(*(evaluate(ctx, parse(t)) for t in targets))
 
 
@@ -259,6 +262,15 @@ def _all(ctx: Context) -> DataFrame:
     return d.withColumns({"ord": F.lit(0).cast("long"), "path": F.col("name"), "start": F.lit(start).cast("long"), "end": F.lit(ctx.end).cast("long"), "step": F.lit(ctx.step).cast("long"), "consolidate": F.lit("average"), "options": F.create_map().cast(S.OPTIONS)}).select(*S.COLUMNS)
 
 
+def stacked(ctx: Context, arg: Any, stackName: str = "__DEFAULT__") -> DataFrame:
+    """On top of what the targets before have stacked under the name."""
+    d = evaluate(ctx, arg)
+    below = ctx.stacks.setdefault(stackName, [])
+    out = S.stacked(d, stackName, tuple(below))
+    below.append(d)
+    return out
+
+
 WEEK = 7 * 86400
 
 
@@ -283,7 +295,7 @@ FUNCTIONS = {
     "limit": S.limit, "sortByMaxima": S.sortByMaxima, "sortByMinima": S.sortByMinima, "exclude": S.exclude,
     "removeAbovePercentile": S.removeAbovePercentile, "removeAboveValue": S.removeAboveValue, "removeBelowPercentile": S.removeBelowPercentile, "removeBelowValue": S.removeBelowValue,
     "alias": S.alias, "aliasSub": S.aliasSub, "aliasByNode": S.aliasByNode, "aliasByMetric": S.aliasByMetric, "substr": S.substr, "legendValue": S.legendValue, "cactiStyle": S.cactiStyle,
-    "color": S.color, "alpha": S.alpha, "lineWidth": S.lineWidth, "dashed": S.dashed, "drawAsInfinite": S.drawAsInfinite, "secondYAxis": S.secondYAxis, "stacked": S.stacked, "areaBetween": S.areaBetween,
+    "color": S.color, "alpha": S.alpha, "lineWidth": S.lineWidth, "dashed": S.dashed, "drawAsInfinite": S.drawAsInfinite, "secondYAxis": S.secondYAxis, "areaBetween": S.areaBetween,
 }
 
 _time = lambda ctx, name: S.timeFunction(ctx.spark, name, ctx.start, ctx.end)
@@ -291,7 +303,7 @@ _sin = lambda ctx, name, amplitude=1: S.sinFunction(ctx.spark, name, ctx.start,
 _walk = lambda ctx, name: S.randomWalkFunction(ctx.spark, name, ctx.start, ctx.end)
 REENTRANT = {
     "movingAverage": _moving(S.movingAverage), "movingMedian": _moving(S.movingMedian), "timeShift": time_shift, "timeStack": time_stack,
-    "smartSummarize": smart_summarize, "hitcount": hit_count, "useSeriesAbove": use_series_above,
+    "stacked": stacked, "smartSummarize": smart_summarize, "hitcount": hit_count, "useSeriesAbove": use_series_above,
     "holtWintersForecast": _hw(S.forecast), "holtWintersConfidenceBands": _hw(S.confidence_bands), "holtWintersConfidenceArea": _hw(S.confidence_area), "holtWintersAberration": _hw(S.aberration),
     "constantLine": lambda ctx, v: S.constantLine(ctx.spark, v, ctx.start, ctx.end),
     "threshold": lambda ctx, v, label=None, color=None: S.threshold(ctx.spark, v, ctx.start, ctx.end, label, color),

@@ -77,7 +77,7 @@ def test_normalised_steps(spark):
 
 
 def test_holt_winters_starts_at_its_first_value():
-    p, dev = S._holt_winters([5.0, 6.0, None, 7.0], 3600)
+    p, dev = zip(*S.smoothed([5.0, 6.0, None, 7.0], 24))
     assert p[0] == 5.0 and dev[0] == 0.0
     assert p[2] is not None and p[3] is None and dev[3] == pytest.approx(0.7)
 
@@ -94,7 +94,11 @@ def test_times():
     now = datetime(2024, 5, 15, 10, 30, tzinfo=timezone.utc)
     at = lambda s: parse_time(s, now).strftime("%Y-%m-%d %H:%M")
     assert at("now-1d") == "2024-05-14 10:30" and at("noon yesterday") == "2024-05-14 12:00" and at("16:00_20240102") == "2024-01-02 16:00"
-    assert at("20240103") == "2024-01-03 10:30" and at("01/02/23") == "2023-01-02 10:30"
+    assert at("20240103") == "2024-01-03 00:00" and at("01/02/23") == "2023-01-02 00:00" and at("01/02/69") == "2069-01-02 00:00"
+    assert at("yesterday") == "2024-05-14 00:00" and at("today") == "2024-05-15 00:00" and at("tomorrow-1h") == "2024-05-15 23:00"
+    assert at("jan 5") == "2024-01-05 00:00" and at("monday") == "2024-05-13 00:00" and at("teatime monday") == "2024-05-13 16:00" and at("now") == "2024-05-15 10:30"
+    with pytest.raises(ValueError):
+        parse_time("january", now)
     assert offset_seconds("-1d12h") == -129600 and offset_seconds("2mon") == 60 * 86400
     with pytest.raises(ValueError):
         offset_seconds("1 day")
