@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stemloom.operators import corpus as C
+from stemloom.scratch import Scratch
 
 METRICS = ("freq", "freq_source", "freq_target", "span", "span_source", "span_target")
 
@@ -39,23 +40,46 @@ class Params:
         return list(dict.fromkeys(parts))[: self.stop_words]
 
 
-def pair_scores(source: DataFrame, target: DataFrame, stops: DataFrame | None, p: Params) -> DataFrame:
+def _occurrences(toks: DataFrame, side: str, stops: DataFrame | None) -> DataFrame:
+    """(stem, {side}doc, {side}: pos, form and freq): the first occurrence of each stem that is no stop."""
+    # A token that has several stems is several rows, of which the first counts as the token.
+    plain = toks.where("nth = 0") if "nth" in toks.columns else toks.select("seg_id", "pos", "form").distinct()
+    occ = C.stem_occurrences(toks)
+    freq = C.form_frequencies(plain, occ).select("form", "freq")
+    if stops is not None:
+        occ = occ.join(F.broadcast(stops.select("stem")), "stem", "left_anti")  # at most Params.stop_words rows
+    shown = occ.join(freq, "form", "left")
+    return shown.select("stem", F.col("seg_id").alias(f"{side}doc"), F.struct(F.col("pos"), F.col("form"), F.col("freq")).alias(side))
+
+
+def likely_pairs(source: DataFrame, target: DataFrame, p: Params) -> DataFrame:
+    """(sdoc, tdoc) of passages that share enough stems at two places and in two forms on either side.
+
+    Only numbers go through the join on stems and the aggregate, which combines before its exchange.
+    Forms are told apart by 64-bit hashes here: ``matched_pairs`` holds what is left against the forms."""
+    thin = lambda d, x: d.select("stem", f"{x}doc", F.col(f"{x}.pos").cast("int").alias(f"{x}p"), F.xxhash64(f"{x}.form").alias(f"{x}f"))
+    met = thin(source, "s").join(thin(target, "t"), "stem").where("sdoc != tdoc")
+    ends = [f(c).alias(f"{n}{c}") for c in ("sp", "tp", "sf", "tf") for f, n in ((F.min, "a"), (F.max, "z"))]
+    counted = met.groupBy("sdoc", "tdoc").agg(F.count(F.lit(1)).alias("n"), *ends)
+    two = " AND ".join(f"a{c} < z{c}" for c in ("sp", "tp", "sf", "tf"))
+    return counted.where((F.col("n") >= p.min_common) & F.expr(two)).select("sdoc", "tdoc")
+
+
+def matched_pairs(pairs: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
+    """(sdoc, tdoc, m): all matches (stem, s, t) of the pairs, found by their passages in place of by stem."""
+    rows = pairs.join(source, "sdoc").join(target, ["tdoc", "stem"])
+    return rows.groupBy("sdoc", "tdoc").agg(F.collect_list(F.struct("stem", "s", "t")).alias("m"))
+
+
+def pair_scores(source: DataFrame, target: DataFrame, stops: DataFrame | None, p: Params, scratch: Scratch) -> DataFrame:
     """(sdoc, tdoc, score, distance, terms) of every pair of passages that passes the filters.
 
     source, target: staged tokens (seg_id, pos, form, stem). Stop stems go before the join on stems,
-    so the hottest keys never meet; what is left skewed is split by adaptive execution. No text is
-    carried through the join."""
-    sides = {}
-    for side, toks in (("s", source), ("t", target)):
-        plain = toks.select("seg_id", "pos", "form").distinct()
-        occ = C.stem_occurrences(toks)
-        freq = C.form_frequencies(plain, occ).select("form", "freq")
-        if stops is not None:
-            occ = occ.join(F.broadcast(stops.select("stem")), "stem", "left_anti")  # at most Params.stop_words rows
-        shown = occ.join(freq, "form", "left")
-        sides[side] = shown.select("stem", F.col("seg_id").alias(f"{side}doc"), F.struct(F.col("pos"), F.col("form"), F.col("freq")).alias(side))
-    met = sides["s"].join(sides["t"], "stem").where("sdoc != tdoc")
-    pairs = met.groupBy("sdoc", "tdoc").agg(F.collect_list(F.struct("stem", "s", "t")).alias("m"))
+    so the hottest keys never meet; what is left skewed is split by adaptive execution. Most pairs share
+    one stem and go by a first aggregate over numbers; forms and stems are fetched for the others alone."""
+    s, t = (scratch.write(_occurrences(toks, x, stops), f"{x}-occurrences") for x, toks in (("s", source), ("t", target)))
+    likely = scratch.write(likely_pairs(s, t, p), "likely")
+    pairs = matched_pairs(likely, s, t)
     # Each side's positions, with the stems matched there.
     positions = lambda side: F.array_distinct(F.transform("m", lambda x: x[side]))
     pairs = pairs.select("sdoc", "tdoc", "m", positions("s").alias("ps"), positions("t").alias("pt"))
@@ -98,7 +122,26 @@ def compare(source: DataFrame, target: DataFrame, corpus_counts: DataFrame, p: P
             stops = C.top_terms(corpus_counts, p.stop_words).select(F.col("term").alias("stem"))
         else:
             stops = source.sparkSession.createDataFrame([(w,) for w in given], "stem string")
-    best = pair_scores(source, target, stops, p).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "sdoc", "tdoc").limit(p.start + p.rows)
+    best = pair_scores(source, target, stops, p, Scratch(source.sparkSession, "pairs")).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "sdoc", "tdoc").limit(p.start + p.rows)
     # The page alone is ranked: at most start + rows rows.
     rank = F.row_number().over(Window.orderBy(F.desc("score"), "sdoc", "tdoc"))
     return best.select((rank - 1).cast("long").alias("rank"), "sdoc", "tdoc", "score", "distance", "terms").where(F.col("rank") >= p.start)
+
+
+#: What a caller may ask to see of either passage of a pair.
+FIELDS = ("volume", "lang", "text")
+
+
+def with_fields(page: DataFrame, passages: DataFrame, source_fields: list[str], target_fields: list[str]) -> DataFrame:
+    """A page of pairs with the stored fields that are asked for, as source_<field> and target_<field>.
+
+    Fields are fetched late, for the passages of the page alone: its rows (Params.start + rows at most) are what is broadcast."""
+    for side, fields in (("source", source_fields), ("target", target_fields)):
+        if unknown := [f for f in fields if f not in FIELDS]:
+            raise ValueError(f"unknown fields: {unknown}")
+        key = side[0] + "doc"
+        if fields:
+            stored = passages.select(F.col("seg_id").alias("_id"), *(F.col(f).alias(f"{side}_{f}") for f in fields))
+            page = stored.join(F.broadcast(page), F.col("_id") == F.col(key)).drop("_id")
+    first = ["rank", "sdoc", "tdoc", "score", "distance", "terms"]
+    return page.select(*first, *(c for c in page.columns if c not in first))

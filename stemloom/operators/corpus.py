@@ -25,11 +25,11 @@ def tokens(passages: DataFrame, key: str = "seg_id") -> DataFrame:
 
 
 def with_stems(toks: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
-    """A row per stem of each token: of the lexicon (key, stems), else by the noun rules; a miss is its own stem."""
+    """A row per stem of each token, numbered ``nth`` from 0: of the lexicon (key, stems), else by the noun rules; a miss is its own stem."""
     if lexicon is None:
-        return toks.withColumn("stem", F.expr(T.stem_noun("form")))
+        return toks.withColumns({"stem": F.expr(T.stem_noun("form")), "nth": F.lit(0)})
     hit = toks.join(lexicon.select(F.col("key").alias("form"), "stems"), "form", "left")
-    return hit.withColumn("stem", F.explode(F.coalesce("stems", F.array("form")))).drop("stems")
+    return hit.select(*toks.columns, F.posexplode(F.coalesce("stems", F.array("form"))).alias("nth", "stem"))
 
 
 def build_lexicon(rows: DataFrame, how: str = "full") -> DataFrame:
@@ -41,8 +41,9 @@ def build_lexicon(rows: DataFrame, how: str = "full") -> DataFrame:
 
 def term_counts(staged: DataFrame) -> DataFrame:
     """(term, n): occurrences of every stem, and of every form with "_" before it."""
-    forms = staged.select("seg_id", "pos", F.concat(F.lit("_"), F.col("form")).alias("term")).distinct()
-    return forms.select("term").unionByName(staged.select(F.col("stem").alias("term"))).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    # A token's first row stands for its form: no shuffle is needed to take its other stems back.
+    terms = F.when(F.col("nth") == 0, F.array("stem", F.concat(F.lit("_"), F.col("form")))).otherwise(F.array("stem"))
+    return staged.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_terms(counts: DataFrame, n: int, forms: bool = False) -> DataFrame:

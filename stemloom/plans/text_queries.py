@@ -30,18 +30,24 @@ def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def side(toks: DataFrame, volume: str) -> DataFrame:
-    return toks.where((F.col("lang") == LANG) & (F.col("volume") == volume)).select("seg_id", "pos", "form", "stem")
+    return toks.where((F.col("lang") == LANG) & (F.col("volume") == volume)).select("seg_id", "pos", "form", "stem", "nth")
 
 
-def compared(p: CMP.Params) -> Callable[[SparkSession, str], DataFrame]:
+def compared(p: CMP.Params, source: str = SOURCE, target: str = TARGET) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         # Tokens are staged once: both sides and the corpus counts read them, by volume.
         toks = Scratch(spark, "compare").write(staged(spark, sf_dir), "tokens")
-        return CMP.compare(side(toks, SOURCE), side(toks, TARGET), C.term_counts(toks), p)
+        return CMP.compare(side(toks, source), side(toks, target), C.term_counts(toks), p)
 
     return run
 
 
+def _with_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of pairs with what is stored of both passages."""
+    page = Scratch(spark, "page").write(COMPARED["compare_freq"](spark, sf_dir), "page")
+    return CMP.with_fields(page, passages(spark, sf_dir), ["volume", "text"], ["lang", "text"])
+
+
 TOKENS = rf"""seg AS (SELECT doc_id * 100000 + i - 1 AS seg_id, source AS volume, lang, l AS text FROM (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE trim(l, ' ') <> ''),
 tok AS (SELECT seg_id, volume, lang, pos, translate(w, 'vj0123456789', 'ui') AS form FROM (SELECT seg_id, volume, lang, unnest(w) AS w, unnest(range(len(w))) AS pos FROM (SELECT seg_id, volume, lang, regexp_extract_all(lower(text), '{T.TOKEN}') AS w FROM seg))),
 st AS MATERIALIZED (SELECT *, {T.stem_noun('form')} AS stem FROM tok)"""
@@ -51,7 +57,7 @@ def with_tokens(body: str, *more: str) -> str:
     return "WITH " + ",\n".join([TOKENS, *more]) + "\n" + body
 
 
-def compare_sql(p: CMP.Params) -> str:
+def compare_sql(p: CMP.Params, source: str = SOURCE, target: str = TARGET, body: str = "SELECT * FROM page") -> str:
     given = p.given_stops()
     if p.stop_words <= 0:
         stops = "SELECT NULL AS stem WHERE false"
@@ -60,7 +66,7 @@ def compare_sql(p: CMP.Params) -> str:
     else:
         stops = "SELECT unnest([" + ", ".join(f"'{w}'" for w in given) + "]) AS stem"
     parts = [f"stops AS ({stops})"]
-    for x, volume in (("s", SOURCE), ("t", TARGET)):
+    for x, volume in (("s", source), ("t", target)):
         parts += [
             f"{x}_tok AS (SELECT * FROM st WHERE lang = '{LANG}' AND volume = '{volume}')",
             f"{x}_occ AS (SELECT seg_id, stem, arg_min(form, pos) AS form, min(pos) AS pos FROM {x}_tok GROUP BY ALL)",
@@ -88,7 +94,8 @@ def compare_sql(p: CMP.Params) -> str:
         f"scored AS (SELECT sdoc, tdoc, round(ln(inv / distance), 6) AS score, distance, array_to_string(terms, '|') AS terms FROM far WHERE distance IS NOT NULL AND inv / distance >= 1 {cap})",
         "ranked AS (SELECT row_number() OVER (ORDER BY score DESC, sdoc, tdoc) - 1 AS rank, * FROM scored)",
     ]
-    return with_tokens(f"SELECT rank::BIGINT AS rank, sdoc::BIGINT AS sdoc, tdoc::BIGINT AS tdoc, score, distance::BIGINT AS distance, terms FROM ranked WHERE rank >= {p.start} AND rank < {p.start + p.rows}", *parts)
+    page = f"page AS (SELECT rank::BIGINT AS rank, sdoc::BIGINT AS sdoc, tdoc::BIGINT AS tdoc, score, distance::BIGINT AS distance, terms FROM ranked WHERE rank >= {p.start} AND rank < {p.start + p.rows})"
+    return with_tokens(body, *parts, page)
 
 
 COMPARES = {f"compare_{m}": CMP.Params(metric=m, rows=50) for m in CMP.METRICS} | {
@@ -265,5 +272,9 @@ DEFINED: dict[str, tuple] = {
     "unescape_html": (lambda spark, sf: table(spark, sf, "part").select("p_partkey", C.unescape_html(F.concat(F.lit("&lt;b&gt;"), "p_name", F.lit("&amp;amp; &quot;x&quot;\u0001"))).alias("text")), "SELECT p_partkey, '<b>' || p_name || '&amp; \"x\"' AS text FROM part"),
 }
 
-QUERIES = {k: compared(p) for k, p in COMPARES.items()} | {k: q for k, (q, _) in DEFINED.items()}
-SQL = {k: compare_sql(p) for k, p in COMPARES.items()} | {k: s for k, (_, s) in DEFINED.items() if s}
+COMPARED = {k: compared(p) for k, p in COMPARES.items()} | {"compare_itself": compared(CMP.Params(rows=50), SOURCE, SOURCE)}
+QUERIES = COMPARED | {"compare_fields": _with_fields} | {k: q for k, (q, _) in DEFINED.items()}
+SQL = {k: compare_sql(p) for k, p in COMPARES.items()} | {
+    "compare_itself": compare_sql(CMP.Params(rows=50), SOURCE, SOURCE),
+    "compare_fields": compare_sql(COMPARES["compare_freq"], body="SELECT page.*, a.volume AS source_volume, a.text AS source_text, b.lang AS target_lang, b.text AS target_text FROM page JOIN seg a ON a.seg_id = sdoc JOIN seg b ON b.seg_id = tdoc"),
+} | {k: s for k, (_, s) in DEFINED.items() if s}
