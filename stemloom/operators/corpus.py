@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,22 @@ def with_stems(toks: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
     return hit.select(*toks.columns, F.posexplode(F.coalesce("stems", F.array("form"))).alias("nth", "stem"))
 
 
+def latin_stems(words: DataFrame, column: str) -> DataFrame:
+    """The columns of ``words`` with part and stem: of each word its noun's stem, then its verb's."""
+    both = F.array(*(F.struct(F.lit(part).alias("part"), F.expr(stem(column)).alias("stem")) for part, stem in (("n", T.stem_noun), ("v", T.stem_verb))))
+    return words.select(*words.columns, F.explode(both).alias("_s")).select(*words.columns, "_s.*")
+
+
+def term_vectors(passages: DataFrame) -> DataFrame:
+    """(seg_id, term, pos, start, end): every token of a passage with its place and its characters' offsets, end exclusive."""
+    low = F.lower("text")
+    words, gaps = F.regexp_extract_all(low, F.lit(T.TOKEN), F.lit(0)), F.split(low, T.TOKEN, -1)
+    d = passages.select("seg_id", F.posexplode(F.arrays_zip(words.alias("term"), F.slice(gaps, 1, F.size(words)).alias("gap"))).alias("pos", "x")).select("seg_id", F.col("pos").cast("long").alias("pos"), "x.term", "x.gap")
+    w = Window.partitionBy("seg_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.length("gap") + F.length("term")).over(w)
+    return d.withColumn("end", end).select("seg_id", "term", "pos", (F.col("end") - F.length("term")).alias("start"), "end")
+
+
 def build_lexicon(rows: DataFrame, how: str = "full") -> DataFrame:
     """(key, stems) of (token, pos, stem) rows: distinct stems in order; "sum" stands alone wherever it occurs."""
     d = rows.select(F.expr(T.normalise("token", how)).alias("key"), F.expr(T.normalise("stem")).alias("stem"))
@@ -156,6 +174,20 @@ def upsert(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFram
     return current.join(new, cond, "left_anti").unionByName(incoming)
 
 
+def upsert_works(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
+    """``current`` with the rows of ``incoming`` put in by their exact keys, and ``written``: whether a row is new or has changed.
+
+    incoming: each key once. A row that comes again as it is counts as not written."""
+    rest = [c for c in current.columns if c not in keys]
+    a = current.select(*(F.col(c).alias(f"a_{c}") for c in current.columns), F.lit(True).alias("_a"))
+    b = incoming.select(*(F.col(c).alias(f"b_{c}") for c in current.columns), F.lit(True).alias("_b"))
+    on = reduce(lambda x, y: x & y, (F.col(f"a_{k}").eqNullSafe(F.col(f"b_{k}")) for k in keys))
+    d = a.join(b, on, "full")
+    changed = reduce(lambda x, y: x | y, (~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")) for c in rest), F.lit(False))
+    new = F.col("_b").isNotNull()
+    return d.select(*(F.when(new, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")).alias(c) for c in current.columns), (new & (F.col("_a").isNull() | changed)).alias("written"))
+
+
 def index_search(metrics: DataFrame, patterns: list[str], n: int = 100) -> DataFrame:
     """The first ``n`` paths, by name, that any of the regular expressions finds, in any case."""
     hit = F.lit(False)

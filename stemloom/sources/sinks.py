@@ -14,8 +14,10 @@ def replace_passages(passages: DataFrame, path: str) -> None:
 
 
 def dump_frequencies(counts: DataFrame, path: str) -> None:
-    """term TAB count, most frequent first; files in order of their names."""
-    counts.orderBy(F.desc("n"), "term").select("term", "n").write.mode("overwrite").option("sep", "\t").option("quote", "").csv(path)
+    """"# count: <terms>", then term TAB count, most frequent first; files in order of their names."""
+    rows = counts.select(F.lit(1).alias("k"), "n", "term", F.concat("term", F.lit("\t"), F.col("n").cast("string")).alias("value"))
+    head = counts.agg(F.count(F.lit(1)).alias("n")).select(F.lit(0).alias("k"), "n", F.lit("").alias("term"), F.concat(F.lit("# count: "), F.col("n").cast("string")).alias("value"))
+    head.unionByName(rows).orderBy("k", F.desc("n"), "term").select("value").write.mode("overwrite").text(path)
 
 
 def write_series(df: DataFrame, path: str, form: str = "csv") -> None:

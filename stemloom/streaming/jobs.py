@@ -58,10 +58,11 @@ def run_updates(df: DataFrame, keys: list[str], scratch: Scratch, name: str) ->
     return got.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "batch")
 
 
-def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def stream_table(spark: SparkSession, sf_dir: str, name: str, files: int = 1000) -> DataFrame:
+    """A table as a stream that takes at most ``files`` files a batch."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     # A table may be a file or a folder of files.
-    return spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{sf_dir}/{name}.parque[t]")
+    return spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def corpus_counts(stream: DataFrame) -> DataFrame:
@@ -82,3 +83,22 @@ def upsert_batches(stream: DataFrame, keys: list[str], path: str, marks: str) ->
         merged.write.mode("overwrite").parquet(f"{path}/v{number}")
 
     stream.writeStream.foreachBatch(apply).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+
+
+def apply_changes(stream: DataFrame, keys: list[str], version: str, deleted: str, path: str, marks: str) -> DataFrame:
+    """The table that a stream of changes leaves: of each key the row of the highest version, unless that deletes it.
+
+    Deleted keys stay in the files, so that an older change that comes late does not bring them back. A batch
+    writes its own version of the table from the one before it: one that fails and runs again
+    writes the same files, and changes that come twice change nothing."""
+    spark, schema, done = stream.sparkSession, stream.schema, []
+    whole = F.struct(version, *(F.col(c) for c in stream.columns if c not in (version, *keys)))
+
+    def apply(batch: DataFrame, number: int) -> None:
+        rows = batch if number == 0 else spark.read.schema(schema).parquet(f"{path}/v{number - 1}").unionByName(batch)
+        rows.groupBy(*keys).agg(F.max(whole).alias("x")).select(*keys, "x.*").select(*batch.columns).write.mode("overwrite").parquet(f"{path}/v{number}")
+        done.append(number)
+
+    stream.writeStream.foreachBatch(apply).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(schema).parquet(f"{path}/v{max(done)}") if done else spark.createDataFrame([], schema)
+    return rows.where(~F.col(deleted)).drop(deleted)

@@ -8,13 +8,14 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from stemloom.plans import series_queries, stream_queries, text_queries
+from stemloom.plans import more_queries, series_queries, stream_queries, text_queries
 
 SF = "/root/testdata/sf0.001"
-QUERIES = text_queries.QUERIES | series_queries.QUERIES | stream_queries.QUERIES
-SQL = text_queries.SQL | series_queries.SQL | stream_queries.SQL
+QUERIES = text_queries.QUERIES | series_queries.QUERIES | stream_queries.QUERIES | more_queries.QUERIES
+SQL = text_queries.SQL | series_queries.SQL | stream_queries.SQL | more_queries.SQL
 SOME = ("compare_freq", "compare_span", "compare_userstop", "stem_frequencies", "lexicon_merge", "lexicon_lookup", "roman_numerals", "sentence_segments", "tess_lines", "index_search", "hash_ring", "quantize",
-        "ts_sumSeries", "ts_keepLastValue", "ts_movingMedian", "ts_hitcount", "ts_smartSummarize", "ts_timeStack", "ts_useSeriesAbove", "ts_highestMax", "ts_nPercentile", "merge_cache", "glob_find", "stream_retention_rollup", "stream_corpus_counts")
+        "ts_sumSeries", "ts_keepLastValue", "ts_movingMedian", "ts_hitcount", "ts_smartSummarize", "ts_timeStack", "ts_useSeriesAbove", "ts_highestMax", "ts_nPercentile", "merge_cache", "glob_find", "stream_retention_rollup", "stream_corpus_counts",
+        "compare_itself", "compare_fields", "ts_stacked_targets", "ts_areaBetween", "ts_holtWintersAberration", "ts_cactiStyle", *more_queries.QUERIES)
 
 
 def shown(v):
