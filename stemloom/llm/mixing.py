@@ -8,6 +8,8 @@ Only sums by cell are exchanged, so a source with a third of all rows is one row
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,12 +42,12 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, roun
 
     targets: for each margin (m, share); a null value is a value. A value without a target keeps
     the weight that the other margins give it no claim to: zero. Stops when no share is off by
-    ``close``, or after ``rounds`` rounds."""
+    ``close``, or after ``rounds`` rounds; then a warning tells by how much the worst share is off."""
     w = cells.withColumn("w", F.col("tokens").cast("double"))
     for margin, target in targets.items():
         w = w.join(target.select(F.col("m").alias(f"m_{margin}"), F.col("share").alias(f"share_{margin}")), F.col(margin).eqNullSafe(F.col(f"m_{margin}")), "left").drop(f"m_{margin}")
     w = scratch.write(w.fillna(0.0, [f"share_{m}" for m in targets]), "raked-0")
-    done = 0
+    done, worst = 0, 0.0
     while done < rounds:
         n = min(ROUNDS_A_TABLE, rounds - done)
         for _ in range(n):
@@ -55,8 +57,11 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, roun
         done += n
         w = scratch.write(w, f"raked-{done}")
         off = [w.groupBy(m).agg(F.abs(F.sum("w") - F.first(f"share_{m}")).alias("off")).agg(F.max("off")).first()[0] for m in targets]
-        if max((x or 0.0) for x in off) < close:
+        worst = max((x or 0.0) for x in off)
+        if worst < close:
             break
+    else:
+        warnings.warn(f"margins are off by up to {worst:.3g} after {rounds} rounds", stacklevel=2)
     return w
 
 
