@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,11 +14,13 @@ _KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode and an error on a cluster."""
     found = spark.conf.get(_KEY, None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"{_KEY} must name a folder that all machines share")
         own = tempfile.mkdtemp(prefix="stemloom-")
         atexit.register(shutil.rmtree, own, True)
         found = f"file://{own}"
