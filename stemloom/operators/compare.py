@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stemloom.operators import corpus as C
@@ -40,79 +40,67 @@ class Params:
         return list(dict.fromkeys(parts))[: self.stop_words]
 
 
-def _occurrences(toks: DataFrame, side: str, stops: DataFrame | None) -> DataFrame:
-    """(stem, {side}doc, {side}: pos, form and freq): the first occurrence of each stem that is no stop."""
+def _occurrences(toks: DataFrame, side: str, stops: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """(stem, {side}doc, {side}p, {side}f, {side}q): place, form's rank and form's frequency of the first occurrence of each stem that is no stop.
+
+    Forms are numbered in the order of their frequency, then of their letters, by a sort: numbers alone
+    go on, and the smallest is the rarest form."""
     # A token that has several stems is several rows, of which the first counts as the token.
     plain = toks.where("nth = 0") if "nth" in toks.columns else toks.select("seg_id", "pos", "form").distinct()
     occ = C.stem_occurrences(toks)
     freq = C.form_frequencies(plain, occ).select("form", "freq")
+    ranked = scratch.write(freq.orderBy("freq", "form").withColumn("f", F.monotonically_increasing_id()), f"{side}-forms")
     if stops is not None:
         occ = occ.join(F.broadcast(stops.select("stem")), "stem", "left_anti")  # at most Params.stop_words rows
-    shown = occ.join(freq, "form", "left")
-    return shown.select("stem", F.col("seg_id").alias(f"{side}doc"), F.struct(F.col("pos"), F.col("form"), F.col("freq")).alias(side))
-
-
-def likely_pairs(source: DataFrame, target: DataFrame, p: Params) -> DataFrame:
-    """(sdoc, tdoc) of passages that share enough stems at two places and in two forms on either side.
-
-    Only numbers go through the join on stems and the aggregate, which combines before its exchange.
-    Forms are told apart by 64-bit hashes here: ``matched_pairs`` holds what is left against the forms."""
-    thin = lambda d, x: d.select("stem", f"{x}doc", F.col(f"{x}.pos").cast("int").alias(f"{x}p"), F.xxhash64(f"{x}.form").alias(f"{x}f"))
-    met = thin(source, "s").join(thin(target, "t"), "stem").where("sdoc != tdoc")
-    ends = [f(c).alias(f"{n}{c}") for c in ("sp", "tp", "sf", "tf") for f, n in ((F.min, "a"), (F.max, "z"))]
-    counted = met.groupBy("sdoc", "tdoc").agg(F.count(F.lit(1)).alias("n"), *ends)
-    two = " AND ".join(f"a{c} < z{c}" for c in ("sp", "tp", "sf", "tf"))
-    return counted.where((F.col("n") >= p.min_common) & F.expr(two)).select("sdoc", "tdoc")
-
-
-def matched_pairs(pairs: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
-    """(sdoc, tdoc, m): all matches (stem, s, t) of the pairs, found by their passages in place of by stem."""
-    rows = pairs.join(source, "sdoc").join(target, ["tdoc", "stem"])
-    return rows.groupBy("sdoc", "tdoc").agg(F.collect_list(F.struct("stem", "s", "t")).alias("m"))
-
-
-def pair_scores(source: DataFrame, target: DataFrame, stops: DataFrame | None, p: Params, scratch: Scratch) -> DataFrame:
-    """(sdoc, tdoc, score, distance, terms) of every pair of passages that passes the filters.
-
-    source, target: staged tokens (seg_id, pos, form, stem). Stop stems go before the join on stems,
-    so the hottest keys never meet; what is left skewed is split by adaptive execution. Most pairs share
-    one stem and go by a first aggregate over numbers; forms and stems are fetched for the others alone."""
-    s, t = (scratch.write(_occurrences(toks, x, stops), f"{x}-occurrences") for x, toks in (("s", source), ("t", target)))
-    likely = scratch.write(likely_pairs(s, t, p), "likely")
-    pairs = matched_pairs(likely, s, t)
-    # Each side's positions, with the stems matched there.
-    positions = lambda side: F.array_distinct(F.transform("m", lambda x: x[side]))
-    pairs = pairs.select("sdoc", "tdoc", "m", positions("s").alias("ps"), positions("t").alias("pt"))
-    forms = lambda c: F.array_distinct(F.transform(c, lambda x: x["form"]))
-    pairs = pairs.where((F.size("ps") >= p.min_common) & (F.size("pt") >= p.min_common) & (F.size(forms("ps")) >= 2) & (F.size(forms("pt")) >= 2))
+    shown = occ.join(ranked, "form").select("stem", F.col("seg_id").alias(f"{side}doc"), F.col("pos").alias(f"{side}p"), F.col("f").alias(f"{side}f"), F.col("freq").alias(f"{side}q"))
+    return scratch.write(shown, f"{side}-occurrences")
+
+
+def pair_scores(source: DataFrame, target: DataFrame, s: DataFrame, t: DataFrame, p: Params) -> DataFrame:
+    """(sdoc, tdoc, score, distance) of every pair of passages that passes the filters.
+
+    source, target: staged tokens; s, t: their occurrences. Stop stems are gone, so the hottest keys never
+    meet in the join on stems; what is left skewed is split by adaptive execution. The matches are dealt out once, by
+    pair: all the aggregates that follow keep that partitioning."""
+    met = s.join(t, "stem").where("sdoc != tdoc").drop("stem").repartition("sdoc", "tdoc")
+    either = (F.struct(F.lit(k).alias("side"), *(F.col(f"{x}{c}").alias(c) for c in "pfq")) for k, x in enumerate("st"))
+    rows = met.select("sdoc", "tdoc", F.inline(F.array(*either)))
+    pair = ["sdoc", "tdoc"]
+    # A place that several stems share counts once.
+    places = rows.groupBy(*pair, "side", "p").agg(F.first("f").alias("f"), F.first("q").alias("q"))
+    forms = places.groupBy(*pair, "side", "f").agg(F.min("p").alias("p"), F.count(F.lit(1)).alias("n"), F.sum(F.lit(1.0) / F.col("q")).alias("inverse"))
+    sides = forms.groupBy(*pair, "side").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("forms"), F.sum("inverse").alias("inverse"), F.sort_array(F.collect_list(F.struct("f", "p"))).alias("rarest"))
+    sides = sides.where((F.col("n") >= p.min_common) & (F.col("forms") >= 2))
+    # Distance between the first places of the two least frequent forms.
+    near = F.abs(F.get("rarest", F.lit(0))["p"] - F.get("rarest", F.lit(1))["p"]) + 1
+    of = lambda k: F.max(F.when(F.col("side") == k, near))
+    pairs = sides.groupBy(*pair).agg(F.count(F.lit(1)).alias("n"), F.sum("inverse").alias("inverse"), of(0).alias("near_s"), of(1).alias("near_t")).where("n = 2")
     # Of (a, b) and (b, a), where both are left, the one whose source is the smaller.
-    both = Window.partitionBy(F.least("sdoc", "tdoc"), F.greatest("sdoc", "tdoc"))
+    both = Window.partitionBy(F.least(*pair), F.greatest(*pair))
     pairs = pairs.withColumn("_n", F.count(F.lit(1)).over(both)).where("_n = 1 OR sdoc < tdoc")
     metric = p.metric.lower().replace(" ", "_")
-
-    def spread(c: str) -> Column:
-        """Distance between the first places of the two least frequent forms."""
-        ranked = F.array_sort(F.transform(c, lambda x: F.struct(x["freq"].alias("freq"), x["form"].alias("form"), x["pos"].alias("pos"))))
-        first = F.get(ranked, F.lit(0))
-        second = F.get(F.filter(ranked, lambda x: x["form"] != first["form"]), F.lit(0))
-        return F.abs(first["pos"] - second["pos"]) + 1
-
     if metric.startswith("freq"):
-        ds, dt = spread("ps"), spread("pt")
+        ds, dt = F.col("near_s"), F.col("near_t")
     else:
         spans = lambda toks, key: toks.groupBy(F.col("seg_id").alias(key)).agg((F.max("pos") - F.min("pos") + 1).alias(f"span_{key}"), F.countDistinct("pos").alias("_n")).where("_n > 1").drop("_n")
-        pairs = pairs.join(spans(source, "sdoc"), "sdoc", "left").join(spans(target, "tdoc"), "tdoc", "left")
+        pairs = pairs.drop("_n").join(spans(source, "sdoc"), "sdoc", "left").join(spans(target, "tdoc"), "tdoc", "left")
         ds, dt = F.col("span_sdoc"), F.col("span_tdoc")
     distance = ds if metric.endswith("source") else dt if metric.endswith("target") else ds + dt
-    inverse = lambda c: F.aggregate(F.array_sort(F.transform(c, lambda x: F.lit(1.0) / x["freq"])), F.lit(0.0), lambda a, x: a + x)
-    score = F.ln((inverse("ps") + inverse("pt")) / distance)
-    joined = lambda side: F.transform(f"p{side}", lambda x: F.array_join(F.array_sort(F.array_distinct(F.transform(F.filter("m", lambda y: y[side] == x), lambda y: y["stem"]))), "-"))
-    terms = F.array_join(F.array_sort(F.array_distinct(F.concat(joined("s"), joined("t")))), "|")
-    out = pairs.select("sdoc", "tdoc", distance.cast("long").alias("distance"), score.alias("score"), terms.alias("terms"))
+    out = pairs.select(*pair, distance.cast("long").alias("distance"), F.ln(F.col("inverse") / distance).alias("score"))
     out = out.where("distance IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) AND score >= 0")
     return out.where(F.col("distance") <= p.max_distance) if p.max_distance > 0 else out
 
 
+def with_terms(page: DataFrame, s: DataFrame, t: DataFrame) -> DataFrame:
+    """A page of pairs with ``terms``: the stems matched at each place joined by "-", in order, those of all places by "|"."""
+    few = page.select("sdoc", "tdoc")
+    met = s.join(F.broadcast(few), "sdoc").join(t, ["tdoc", "stem"])  # a page: at most Params.start + rows pairs
+    each = met.select("sdoc", "tdoc", "stem", F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("sp").alias("p")), F.struct(F.lit(1).alias("side"), F.col("tp").alias("p")))))
+    joined = each.groupBy("sdoc", "tdoc", "side", "p").agg(F.array_join(F.array_sort(F.collect_set("stem")), "-").alias("x"))
+    terms = joined.groupBy("sdoc", "tdoc").agg(F.array_join(F.array_sort(F.collect_set("x")), "|").alias("terms"))
+    return page.join(terms, ["sdoc", "tdoc"])
+
+
 def compare(source: DataFrame, target: DataFrame, corpus_counts: DataFrame, p: Params = Params()) -> DataFrame:
     """The page of pairs that ``p`` asks for: rank, sdoc, tdoc, score, distance, terms."""
     stops = None
@@ -122,10 +110,13 @@ def compare(source: DataFrame, target: DataFrame, corpus_counts: DataFrame, p: P
             stops = C.top_terms(corpus_counts, p.stop_words).select(F.col("term").alias("stem"))
         else:
             stops = source.sparkSession.createDataFrame([(w,) for w in given], "stem string")
-    best = pair_scores(source, target, stops, p, Scratch(source.sparkSession, "pairs")).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "sdoc", "tdoc").limit(p.start + p.rows)
+    scratch = Scratch(source.sparkSession, "pairs")
+    s, t = (_occurrences(toks, x, stops, scratch) for x, toks in (("s", source), ("t", target)))
+    best = pair_scores(source, target, s, t, p).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "sdoc", "tdoc").limit(p.start + p.rows)
     # The page alone is ranked: at most start + rows rows.
     rank = F.row_number().over(Window.orderBy(F.desc("score"), "sdoc", "tdoc"))
-    return best.select((rank - 1).cast("long").alias("rank"), "sdoc", "tdoc", "score", "distance", "terms").where(F.col("rank") >= p.start)
+    page = scratch.write(best.withColumn("rank", (rank - 1).cast("long")).where(F.col("rank") >= p.start), "page")
+    return with_terms(page, s, t).select("rank", "sdoc", "tdoc", "score", "distance", "terms")
 
 
 #: What a caller may ask to see of either passage of a pair.
