@@ -139,7 +139,7 @@ def _lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _frequencies(spark: SparkSession, sf: str) -> DataFrame:
-    toks = side(staged(spark, sf), SOURCE)
+    toks = staged(spark, sf)
     return C.form_frequencies(toks.select("seg_id", "pos", "form"), C.stem_occurrences(toks)).select("form", "cf", F.round("freq", 9).alias("freq"))
 
 
@@ -151,14 +151,14 @@ def _tess(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sentences(spark: SparkSession, sf: str) -> DataFrame:
-    p = passages(spark, sf).where(F.col("lang") == LANG)
+    p = passages(spark, sf)
     lines = p.select(F.floor(F.col("seg_id") / 100000).alias("doc"), (F.col("seg_id") % 100000).alias("n"), "text", (F.col("seg_id") % 100000).cast("string").alias("line"))
     return C.sentences(lines, "doc")
 
 
 _SENTENCES = with_tokens(
     "SELECT doc, s::BIGINT AS s, trim(t || d, ' ') AS sentence, a AS start, z AS \"end\" FROM g WHERE d IS NOT NULL AND trim(t, ' ') <> ''",
-    f"li AS (SELECT CAST(floor(seg_id / 100000) AS BIGINT) AS doc, seg_id % 100000 AS n, string_split(regexp_replace(trim(text, ' '), '([.?!;:])', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS cut FROM seg WHERE lang = '{LANG}')",
+    f"li AS (SELECT CAST(floor(seg_id / 100000) AS BIGINT) AS doc, seg_id % 100000 AS n, string_split(regexp_replace(trim(text, ' '), '([.?!;:])', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS cut FROM seg)",
     "pa AS (SELECT doc, n, unnest(cut) AS part, unnest(range(len(cut))) AS p FROM li)",
     "ma AS (SELECT *, regexp_matches(part, '^[.?!;:]$') AS mark FROM pa)",
     "nu AS (SELECT *, coalesce(sum(mark::INT) OVER (PARTITION BY doc ORDER BY n, p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM ma)",
@@ -223,15 +223,15 @@ _EVENTS = "SELECT event_id, ts, event_type, value FROM events WHERE ts >= TIMEST
 
 DEFINED: dict[str, tuple] = {
     "term_vectors": (
-        lambda spark, sf: staged(spark, sf).where(F.col("volume") == SOURCE).groupBy("seg_id").agg(F.countDistinct("form").alias("n_forms"), F.countDistinct("stem").alias("n_stems"), F.count(F.lit(1)).alias("n")),
-        with_tokens(f"SELECT seg_id, count(DISTINCT form) AS n_forms, count(DISTINCT stem) AS n_stems, count(*) AS n FROM st WHERE volume = '{SOURCE}' GROUP BY seg_id"),
+        lambda spark, sf: staged(spark, sf).groupBy("seg_id").agg(F.countDistinct("form").alias("n_forms"), F.countDistinct("stem").alias("n_stems"), F.count(F.lit(1)).alias("n")),
+        with_tokens(f"SELECT seg_id, count(DISTINCT form) AS n_forms, count(DISTINCT stem) AS n_stems, count(*) AS n FROM st GROUP BY seg_id"),
     ),
     "stem_index": (
         lambda spark, sf: staged(spark, sf).groupBy("stem").agg(F.countDistinct("seg_id").alias("n_passages")),
         with_tokens("SELECT stem, count(DISTINCT seg_id) AS n_passages FROM st GROUP BY stem"),
     ),
     "stem_frequencies": (_frequencies, with_tokens("SELECT form, sum(cw)::BIGINT AS cf, round(sum(cw) / (SELECT sum(cw) FROM cw), 9) AS freq FROM (SELECT DISTINCT a.form, b.form AS other FROM ed a JOIN ed b USING (stem)) p JOIN (SELECT form AS other, cw FROM cw) USING (other) GROUP BY form",
-        f"x AS (SELECT * FROM st WHERE lang = '{LANG}' AND volume = '{SOURCE}')", "oc AS (SELECT seg_id, stem, arg_min(form, pos) AS form FROM x GROUP BY ALL)", "cw AS (SELECT form, count(*) AS cw FROM x GROUP BY form)", "ed AS (SELECT DISTINCT form, stem FROM oc)")),
+        "x AS (SELECT * FROM st)", "oc AS (SELECT seg_id, stem, arg_min(form, pos) AS form FROM x GROUP BY ALL)", "cw AS (SELECT form, count(*) AS cw FROM x GROUP BY form)", "ed AS (SELECT DISTINCT form, stem FROM oc)")),
     "corpus_counts": (lambda spark, sf: C.term_counts(staged(spark, sf)), with_tokens("SELECT '_' || form AS term, count(*) AS n FROM st GROUP BY form UNION ALL SELECT stem, count(*) FROM st GROUP BY stem")),
     "stop_list_topn": (lambda spark, sf: C.top_terms(C.term_counts(staged(spark, sf)), 25), with_tokens("SELECT stem AS term, count(*) AS n FROM st GROUP BY stem ORDER BY n DESC, stem LIMIT 25")),
     "stop_list_forms": (lambda spark, sf: C.top_terms(C.term_counts(staged(spark, sf)), 25, True), with_tokens("SELECT '_' || form AS term, count(*) AS n FROM st GROUP BY form ORDER BY n DESC, term LIMIT 25")),
