@@ -12,9 +12,15 @@ Equal sets are one node. In a class of equal signatures each node is paired with
 an order that each group draws anew, and with the ``near`` nodes that have the most verified links so
 far: a text that many are copies of, but less like one another, is found by all of them. Classes of up
 to near + 1 give all their pairs, larger ones rows in proportion to their members. There are several
-passes (``PASSES``), each over other tables, the later ones with more partners; a pass gives only the pairs whose components
+passes (``PASSES``), each over other tables; a pass gives only the pairs whose components
 still differ, so a large group of near copies that the first passes
 have joined makes no more pairs.
+
+What chance and ``near`` leave out is found exactly by a last pass: in one order of all shingles, rare
+ones first, two sets of similarity ``least`` have a shingle in common among the first n - least * n + 1
+of each. All pairs with such a shingle are candidates, unless their components are one, or their
+sizes and the shingle's places leave too few to have in common. No group is cut. Which shingles
+are frequent is told by a sample of ``SAMPLE`` texts; it decides how many candidates there are, not what is found.
 """
 
 from __future__ import annotations
@@ -33,6 +39,8 @@ PRINTS, TABLES, WIDTH = 8, 64, 28
 HALF = WIDTH // 2
 #: Each pass: its tables (from, to), and a node's partners in a class of equal signatures.
 PASSES = ((0, 2, 1), (2, 12, 1), (12, 36, 1), (36, TABLES, 1))
+#: Texts that tell which shingles are frequent, shingles that are told so, and pairs that are looked at together.
+SAMPLE, FREQUENT, TOGETHER = 8192, 1 << 17, 1 << 21
 
 _CHOSEN = np.stack([np.random.default_rng([7, t]).permutation(64 * PRINTS)[:WIDTH] for t in range(TABLES)])
 _STEPS = np.arange(1, PRINTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -183,6 +191,157 @@ def candidates(nodes: DataFrame, least: float, tables: range, near: int) -> Data
     return dealt.mapInArrow(joined, "a long, b long").distinct()
 
 
+def frequent(texts: DataFrame, words: int, every: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, sorted, that three or more of each ``every``-th text have, the ``FREQUENT`` most frequent, and how many have them."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, n = np.unique(np.concatenate([np.empty(0, np.uint64), *(shingles(t.as_py(), words) for t in batch.column("text"))]), return_counts=True)
+            for k in range(0, len(found), 1 << 18):
+                yield pa.record_batch([pa.array(found[k : k + (1 << 18)].view(np.int64)), pa.array(n[k : k + (1 << 18)])], names=["shingle", "n"])
+
+    some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text")
+    most = some.mapInArrow(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
+    found, n = most.column("shingle").to_numpy().view(np.uint64), most.column("n").to_numpy()
+    order = np.argsort(found)
+    return found[order], n[order]
+
+
+def _weight(found: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    if not len(known[0]):
+        return np.zeros(len(found), np.int64)
+    at = np.minimum(np.searchsorted(known[0], found), len(known[0]) - 1)
+    return np.where(known[0][at] == found, known[1][at], 0)
+
+
+def prefix(found: np.ndarray, least: float, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The shingles, rare ones first, of which a set that is similar enough has one among its own."""
+    n = len(found)
+    return found[np.argsort(_weight(found, known), kind="stable")][: n - int(np.ceil(least * n - 1e-6)) + 1]
+
+
+def enough(x: np.ndarray, y: np.ndarray, m: int, n: int, least: float, known: tuple[np.ndarray, np.ndarray]) -> bool:
+    """Whether sets of m and n shingles with the prefixes x and y can be similar enough: those of the prefix that ends first
+    are met in the other prefix or not at all."""
+    ends = list(zip(_weight(np.array([x[-1], y[-1]]), known).tolist(), (int(x[-1]), int(y[-1]))))
+    left = m - len(x) if ends[0] <= ends[1] else n - len(y)
+    return len(np.intersect1d(x, y, assume_unique=True)) + left >= least / (1 + least) * (m + n) - 1e-6
+
+
+def _ranges(first: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) for each j from first[i] to last[i], ``TOGETHER`` or little more at a time."""
+    count = np.maximum(last - first, 0)
+    ends = np.cumsum(count)
+    at = 0
+    while at < len(count):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - count[at] + TOGETHER, "right")))
+        n = count[at:to]
+        if n.any():
+            yield np.repeat(np.arange(at, to), n), np.arange(n.sum()) + np.repeat(first[at:to] - (np.cumsum(n) - n), n)
+        at = to
+
+
+def _sharing(key: np.ndarray, node: np.ndarray, size: np.ndarray, place: np.ndarray, root: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidates (a, b) with a key in common, in whole groups of equal keys: sizes and places that allow ``least``, roots that differ."""
+    order = np.lexsort((root, key))
+    key, node, size, place, root = (x[order] for x in (key, node, size, place, root))
+    new = np.r_[True, key[1:] != key[:-1]]
+    runs = np.flatnonzero(new | np.r_[True, root[1:] != root[:-1]])
+    length = np.diff(np.r_[runs, len(key)])
+    group = np.cumsum(new) - 1
+    # In each group the root with most members is left to the others: a crowd that is joined is not paired with itself.
+    best = np.lexsort((-length, group[runs]))
+    best = best[np.r_[True, np.diff(group[runs][best]) > 0]]
+    minor = np.ones(len(runs), bool)
+    minor[best] = False
+    minor = np.repeat(minor, length)
+    several = np.bincount(group, minor) > 0
+    keep = several[group]
+    group, node, size, place, root, minor = (x[keep] for x in (group, node, size, place, root, minor))
+    if not len(group):
+        return
+    order = np.lexsort((size, group))
+    group, node, size, place, root, minor = (x[order] for x in (group, node, size, place, root, minor))
+    # Sets of x and y have at most x - place in common from here on, and need (x + y) * least / (1 + least).
+    allowed = np.floor((size - place) * (1 + least) / least - size + 1e-6).astype(np.int64)
+    wide = int(size.max()) + 2
+    value = group * wide + size
+    limit = group * wide + np.clip(np.minimum(allowed, np.floor(size / least + 1e-6).astype(np.int64)), 0, wide - 1)
+    few = np.flatnonzero(minor)
+    some = np.flatnonzero(~minor)
+    after = np.searchsorted(value, limit, "right")
+    parts = (
+        (few, np.arange(len(value)), few + 1, after[few]),
+        (some, few, np.searchsorted(few, some), np.searchsorted(value[few], limit[some], "right")),
+    )
+    for own, other, first, last in parts:
+        for i, j in _ranges(first, last):
+            i, j = own[i], other[j]
+            fits = (root[i] != root[j]) & (size[i] <= allowed[j])
+            x, y = node[i[fits]], node[j[fits]]
+            if len(x):
+                pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+                yield pairs[:, 0], pairs[:, 1]
+
+
+def all_candidates(texts: DataFrame, nodes: DataFrame, words: int, least: float, known: tuple[np.ndarray, np.ndarray], scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, root), those of similarity ``least`` or more among them, whose roots differ; ``texts`` has their texts.
+
+    Candidates are held against each other by their prefixes, which are a fifth of the sets at 0.8."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            out = []
+            for t in batch.column("text"):
+                found = shingles(t.as_py(), words)
+                if len(found) and (name := _name(found)) not in seen:
+                    seen.add(name)
+                    out.append((name, len(found), prefix(found, least, known).tobytes()))
+            if out:
+                yield pa.record_batch([pa.array(x, kind) for x, kind in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary()))], names=["node", "size", "first"])
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, len(whole), 512):
+                batch = whole.slice(k, 512)
+                first = [np.frombuffer(x, np.int64) for x in batch.column("first").to_pylist()]
+                times = np.fromiter(map(len, first), np.int64, len(first))
+                place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                cols = [np.concatenate(first), *(np.repeat(batch.column(c).to_numpy(), times) for c in ("node", "root", "size")), place.astype(np.int32)]
+                yield pa.record_batch([pa.array(c) for c in cols], names=["key", "node", "root", "size", "place"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[b.column(c).to_numpy() for c in ("key", "node", "size", "place", "root")] for b in batches if len(b)]
+        if not parts:
+            return
+        cols = [np.concatenate(x) for x in zip(*parts)]
+        del parts
+        order = np.argsort(cols[0], kind="stable")
+        cols = [c[order] for c in cols]
+        at, key = 0, cols[0]
+        while at < len(key):
+            to = min(len(key), at + (1 << 18))
+            to = int(np.searchsorted(key, key[to - 1], "right"))
+            for a, b in _sharing(*(c[at:to] for c in cols), least):
+                for k in range(0, len(a), 1 << 18):
+                    yield pa.record_batch([pa.array(x[k : k + (1 << 18)]) for x in (a, b)], names=["a", "b"])
+            at = to
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = ([np.frombuffer(f, np.uint64) for f in batch.column(c).to_pylist()] for c in ("x", "y"))
+            keep = [enough(*of, least, known) for of in zip(x, y, batch.column("m").to_pylist(), batch.column("n").to_pylist())]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    firsts = scratch.write(texts.select("text").mapInArrow(marked, "node long, size int, first binary").dropDuplicates(["node"]), "firsts")
+    rows = firsts.join(nodes.select("node", "root"), "node").select("node", "root", "size", "first").mapInArrow(dealt, "key long, node long, root long, size int, place int")
+    met = scratch.write(rows.repartition("key").mapInArrow(joined, "a long, b long").distinct(), "met")
+    both = met.join(firsts.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("first").alias("x")), "a")
+    both = both.join(firsts.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("first").alias("y")), "b")
+    return both.select("a", "b", "x", "y", "m", "n").mapInArrow(compared, "a long, b long")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose sets have a Jaccard similarity of ``least`` or more."""
 
@@ -222,19 +381,22 @@ def similar_texts(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFr
     nodes = scratch.write(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("bits").alias("bits")), "nodes")
     worded = nodes.where("size > 0").select("node", "size", "bits")
     links = roots = None
-    for k, (first, last, near) in enumerate(PASSES):
+    for k, spec in enumerate((*PASSES, None)):
         known = worded.withColumns({"root": F.col("node"), "degree": F.lit(0)})
         if roots is not None:
             count = lambda c: links.groupBy(F.col(c).alias("node")).agg(F.count(F.lit(1)).alias("n"))
             degrees = count("a").unionByName(count("b")).groupBy("node").agg(F.sum("n").cast("int").alias("degree"))
             known = worded.join(roots, "node", "left").join(degrees, "node", "left").withColumns({"root": F.coalesce("root", "node"), "degree": F.coalesce("degree", F.lit(0))})
-        pairs = candidates(known, least, range(first, last), near)
+        if spec:
+            pairs = candidates(known, least, range(*spec[:2]), spec[2])
+        else:
+            pairs = all_candidates(texts, known, words, least, frequent(texts, words, max(1, rows.count() // SAMPLE)), scratch)
         pairs = scratch.write(pairs, f"pairs-{k}")
         ends = pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct()).distinct()
         held = nodes.select("node", F.col("least").alias("doc_id")).join(ends, "node", "left_semi")
         sets = scratch.write(texts.join(held, "doc_id").select("node", "text").mapInArrow(again, "node long, found binary").dropDuplicates(["node"]), f"sets-{k}")
         new = scratch.write(_similar(pairs, sets, least), f"links-{k}")
-        scratch.drop(f"sets-{k}")
+        scratch.drop(f"sets-{k}", *(() if spec else ("firsts", "met")))
         links = new if links is None else links.unionByName(new)
         roots = scratch.write(components(links, scratch, f"stars-{k}"), f"roots-{k}")
 

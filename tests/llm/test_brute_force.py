@@ -666,3 +666,54 @@ def test_near_dedup_keeps_one_of_repeated_rows(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string, node string")
     kept = sorted(map(tuple, similar.one_of_each(d).collect()), key=str)
     assert [x[:2] for x in kept] == sorted([(1, prose), (3, other), (None, prose), (None, prose), kept[3][:2] if kept[3][0] == 4 else (4, None)], key=str)
+
+
+def test_near_dedup_loses_no_link(spark):
+    """All pairs just at 0.8 are linked, and a copy that is like one text of a crowd alone."""
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(4000)]
+    texts = []
+    for _ in range(500):  # two words replaced, ten of 96 shingles on either side: 86 of 106 are shared
+        base = list(rng.choice(words, 100))
+        copy = list(base)
+        copy[20] = copy[60] = "changed"
+        texts += [" ".join(base), " ".join(copy)]
+    crowd = list(rng.choice(words, 100))
+    for k in range(300):
+        copy = list(crowd)
+        copy[int(rng.integers(5, 45))] = copy[int(rng.integers(50, 95))] = f"own{k}"
+        texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    sets = [plain_shingles(t) for t in texts]
+    by, root = defaultdict(list), list(range(len(texts)))
+    for i, s in enumerate(sets):
+        for x in s:
+            by[x].append(i)
+    for i, j in sorted({(i, j) for ids in by.values() for n, i in enumerate(ids) for j in ids[n + 1 :]}):
+        if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            x, y = sorted((root[i], root[j]))
+            root = [x if r == y else r for r in root]
+    got = {r.doc_id: r.component_id for r in similar.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == root
+
+
+@pytest.mark.parametrize("least", [0.5, 0.8, 0.95])
+def test_exact_candidates_hold_all_similar_pairs(least, monkeypatch):
+    """Each pair of enough similarity whose roots differ, in groups of frequent keys and joined crowds too."""
+    monkeypatch.setattr(similar, "TOGETHER", 50)
+    rng = np.random.default_rng(5)
+    common = rng.integers(0, 2**63, 30).astype(np.uint64)
+    sets = []
+    for k in range(240):
+        base = sets[int(rng.integers(0, k))] if k and rng.random() < 0.7 else np.r_[common[: rng.integers(0, 31)], rng.integers(0, 2**63, rng.integers(1, 40)).astype(np.uint64)]
+        sets.append(np.unique(np.r_[base[rng.random(len(base)) < rng.choice([0.85, 0.95, 1.0])], rng.integers(0, 2**63, rng.integers(1, 4)).astype(np.uint64)]))
+    root = np.where(rng.random(240) < 0.5, rng.integers(0, 3, 240), np.arange(240))
+    known = (np.sort(common), rng.integers(3, 90, 30))
+    firsts = [similar.prefix(s, least, known) for s in sets]
+    node = np.repeat(np.arange(240), [len(f) for f in firsts])
+    size = np.array([len(s) for s in sets])
+    place = np.concatenate([np.arange(len(f)) for f in firsts])
+    got = {p for a, b in similar._sharing(np.concatenate(firsts).view(np.int64), node, size[node], place, root[node], least) for p in zip(a.tolist(), b.tolist())}
+    want = {(i, j) for i in range(240) for j in range(i + 1, 240) if root[i] != root[j] and similar.jaccard(sets[i], sets[j]) >= least}
+    assert len(want) > 20 and want <= got and all(root[i] != root[j] for i, j in got)
+    assert all(similar.enough(firsts[i], firsts[j], len(sets[i]), len(sets[j]), least, known) for i, j in want)
