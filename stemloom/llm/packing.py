@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stemloom.llm.tokenizing import default_vocabulary, encoder
+from stemloom.llm.tokenizing import default_vocabulary, encoder, forget
+from stemloom.llm.workers import lean
 from stemloom.scratch import Scratch
 
 #: More sources than this share queues by hash, so that the driver's table of queues is bounded.
@@ -122,10 +123,12 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int, keep: tuple[
                     [*(some.column(c) for c in keep), some.column("queue"), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(before, pa.int64()), pa.array([part] * len(ids), pa.int64())],
                     names=[*keep, "queue", "ids", "n_tokens", "before", "part"],
                 )
+        del coder
+        forget(vocabulary)
 
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in keep) + ", queue string, ids binary, n_tokens long, before long, part long"
-    return docs.select(*keep, "queue", F.col("text").cast("string").alias("text")).mapInArrow(encoded, schema)
+    return docs.select(*keep, "queue", F.col("text").cast("string").alias("text")).mapInArrow(lean(encoded), schema)
 
 
 def pack(docs: DataFrame, window: int = 2048, shares: dict[str | None, float] | None = None, cut: int = 1, vocabulary: str | None = None, end_id: int = 1) -> DataFrame:
@@ -159,6 +162,7 @@ def pack(docs: DataFrame, window: int = 2048, shares: dict[str | None, float] |
     plan = Plan(ordered, [lengths[q] for q in ordered], [target.get(q, 0) if shares else lengths[q] for q in ordered], window, cut)
     base = parts.select("queue", "part", (F.sum("n").over(Window.partitionBy("queue").orderBy("part")) - F.col("n")).alias("base"))
     code = {2: "<u2", 4: "<u4"}[encoder(vocabulary).dtype.itemsize]
+    forget(vocabulary)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -180,7 +184,7 @@ def pack(docs: DataFrame, window: int = 2048, shares: dict[str | None, float] |
 
     kind = dict(docs.dtypes)["doc_id"]
     schema = PIECES.replace("doc_id long", f"doc_id {kind}")
-    return tokens.join(base, ["queue", "part"]).select("doc_id", "source", "queue", "ids", "n_tokens", "before", "base").mapInArrow(placed, schema)
+    return tokens.join(base, ["queue", "part"]).select("doc_id", "source", "queue", "ids", "n_tokens", "before", "base").mapInArrow(lean(placed), schema)
 
 
 def pieces_digest(pieces: DataFrame) -> DataFrame:

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemloom.llm.simhash import _BLANKS, _FOLD, components, trie_links
+from stemloom.llm.workers import lean
 from stemloom.scratch import Scratch
 
 PRINTS, TABLES, WIDTH = 8, 64, 28
@@ -40,7 +41,7 @@ HALF = WIDTH // 2
 #: Each pass: its tables (from, to), and a node's partners in a class of equal signatures.
 PASSES = ((0, 2, 1), (2, 12, 1), (12, 36, 1), (36, TABLES, 1))
 #: Texts that tell which shingles are frequent, shingles that are told so, and pairs that are looked at together.
-SAMPLE, FREQUENT, TOGETHER = 8192, 1 << 17, 1 << 21
+SAMPLE, FREQUENT, TOGETHER = 8192, 1 << 17, 1 << 18
 
 _CHOSEN = np.stack([np.random.default_rng([7, t]).permutation(64 * PRINTS)[:WIDTH] for t in range(TABLES)])
 _STEPS = np.arange(1, PRINTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -187,8 +188,8 @@ def candidates(nodes: DataFrame, least: float, tables: range, near: int) -> Data
                 yield pa.record_batch([pa.array(x[k : k + (1 << 18)]) for x in (a, b)], names=["a", "b"])
             at = to
 
-    dealt = nodes.mapInArrow(signed, "g int, rest short, node long, size int, root long, degree int").repartition("g")
-    return dealt.mapInArrow(joined, "a long, b long").distinct()
+    dealt = nodes.mapInArrow(lean(signed), "g int, rest short, node long, size int, root long, degree int").repartition("g")
+    return dealt.mapInArrow(lean(joined), "a long, b long").distinct()
 
 
 def frequent(texts: DataFrame, words: int, every: int) -> tuple[np.ndarray, np.ndarray]:
@@ -201,7 +202,7 @@ def frequent(texts: DataFrame, words: int, every: int) -> tuple[np.ndarray, np.n
                 yield pa.record_batch([pa.array(found[k : k + (1 << 18)].view(np.int64)), pa.array(n[k : k + (1 << 18)])], names=["shingle", "n"])
 
     some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text")
-    most = some.mapInArrow(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
+    most = some.mapInArrow(lean(counted), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
     found, n = most.column("shingle").to_numpy().view(np.uint64), most.column("n").to_numpy()
     order = np.argsort(found)
     return found[order], n[order]
@@ -334,12 +335,12 @@ def all_candidates(texts: DataFrame, nodes: DataFrame, words: int, least: float,
             keep = [enough(*of, least, known) for of in zip(x, y, batch.column("m").to_pylist(), batch.column("n").to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    firsts = scratch.write(texts.select("text").mapInArrow(marked, "node long, size int, first binary").dropDuplicates(["node"]), "firsts")
-    rows = firsts.join(nodes.select("node", "root"), "node").select("node", "root", "size", "first").mapInArrow(dealt, "key long, node long, root long, size int, place int")
-    met = scratch.write(rows.repartition("key").mapInArrow(joined, "a long, b long").distinct(), "met")
+    firsts = scratch.write(texts.select("text").mapInArrow(lean(marked), "node long, size int, first binary").dropDuplicates(["node"]), "firsts")
+    rows = firsts.join(nodes.select("node", "root"), "node").select("node", "root", "size", "first").mapInArrow(lean(dealt), "key long, node long, root long, size int, place int")
+    met = scratch.write(rows.repartition("key").mapInArrow(lean(joined), "a long, b long").distinct(), "met")
     both = met.join(firsts.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("first").alias("x")), "a")
     both = both.join(firsts.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("first").alias("y")), "b")
-    return both.select("a", "b", "x", "y", "m", "n").mapInArrow(compared, "a long, b long")
+    return both.select("a", "b", "x", "y", "m", "n").mapInArrow(lean(compared), "a long, b long")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -352,7 +353,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             yield batch.select(["a", "b"]).filter(keep)
 
     both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("found").alias("x")), "a")
-    return both.join(sets.select(F.col("node").alias("b"), F.col("found").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(each, "a long, b long")
+    return both.join(sets.select(F.col("node").alias("b"), F.col("found").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(lean(each), "a long, b long")
 
 
 def similar_texts(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
@@ -377,7 +378,7 @@ def similar_texts(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFr
             out = pa.record_batch([batch.column("node"), pa.array([f.tobytes() for f in found], pa.binary())], names=["node", "found"])
             yield out.filter(pa.array([_name(f) == n for f, n in zip(found, batch.column("node").to_pylist())], pa.bool_()))
 
-    rows = scratch.write(texts.mapInArrow(marked, f"doc_id {kind}, node long, size int, bits binary"), "rows")
+    rows = scratch.write(texts.mapInArrow(lean(marked), f"doc_id {kind}, node long, size int, bits binary"), "rows")
     nodes = scratch.write(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("bits").alias("bits")), "nodes")
     worded = nodes.where("size > 0").select("node", "size", "bits")
     links = roots = None
@@ -394,7 +395,7 @@ def similar_texts(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFr
         pairs = scratch.write(pairs, f"pairs-{k}")
         ends = pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct()).distinct()
         held = nodes.select("node", F.col("least").alias("doc_id")).join(ends, "node", "left_semi")
-        sets = scratch.write(texts.join(held, "doc_id").select("node", "text").mapInArrow(again, "node long, found binary").dropDuplicates(["node"]), f"sets-{k}")
+        sets = scratch.write(texts.join(held, "doc_id").select("node", "text").mapInArrow(lean(again), "node long, found binary").dropDuplicates(["node"]), f"sets-{k}")
         new = scratch.write(_similar(pairs, sets, least), f"links-{k}")
         scratch.drop(f"sets-{k}", *(() if spec else ("firsts", "met")))
         links = new if links is None else links.unionByName(new)
@@ -425,6 +426,6 @@ def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFram
     again = docs.join(counted.where("n > 1"), "doc_id", "left_semi")
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     again = again.select("doc_id", F.col("text").cast("string").alias("text"), whole.alias("row"))
-    again = again.mapInArrow(named, f"doc_id {kind}, node long, row {again.schema['row'].dataType.simpleString()}")
+    again = again.mapInArrow(lean(named), f"doc_id {kind}, node long, row {again.schema['row'].dataType.simpleString()}")
     again = again.join(keepers.distinct(), ["doc_id", "node"]).groupBy("doc_id", "root").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
     return once.select(*docs.columns).unionByName(again).unionByName(docs.where("doc_id IS NULL"))

@@ -246,3 +246,8 @@ def encoder(vocabulary: str) -> Encoder:
     if vocabulary not in _encoders:
         _encoders[vocabulary] = Encoder(vocabulary)
     return _encoders[vocabulary]
+
+
+def forget(vocabulary: str) -> None:
+    """Drop this process's encoder for a vocabulary file: its tables are some 85 MB, or more with many pieces, which a worker would keep."""
+    _encoders.pop(vocabulary, None)

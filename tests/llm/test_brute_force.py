@@ -5,6 +5,7 @@ import binascii
 import collections
 import hashlib
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -13,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from stemloom.llm import ann, html_extract, mixing, packing, quality, secret_scan, simhash, similar, substring_dedup, token_lengths, tokenizing, warc
+from stemloom.llm import ann, html_extract, mixing, packing, quality, secret_scan, simhash, similar, substring_dedup, token_lengths, tokenizing, warc, workers
 from stemloom.scratch import Scratch
 
 SF = "/root/testdata/sf0.001"
@@ -717,3 +718,36 @@ def test_exact_candidates_hold_all_similar_pairs(least, monkeypatch):
     want = {(i, j) for i in range(240) for j in range(i + 1, 240) if root[i] != root[j] and similar.jaccard(sets[i], sets[j]) >= least}
     assert len(want) > 20 and want <= got and all(root[i] != root[j] for i, j in got)
     assert all(similar.enough(firsts[i], firsts[j], len(sets[i]), len(sets[j]), least, known) for i, j in want)
+
+
+def test_exact_candidates_take_little_memory_at_once():
+    """All pairs of a crowd that shares a shingle are given, a bounded number of them at a time."""
+    n = 2400
+    key, node, size, place = np.zeros(n, np.int64), np.arange(n), np.full(n, 50), np.zeros(n, np.int64)
+    tracemalloc.start()
+    try:
+        found = sum(len(a) for a, _ in similar._sharing(key, node, size, place, node, 0.8))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found >= n * (n - 1) // 2
+    assert peak < 64 << 20
+
+
+def test_workers_keep_no_encoder(spark):
+    """Workers outlive their tasks, and what a stage has loaded counts against the next one's memory."""
+    packing.pack(docs_of(spark, TEXTS)).count()
+
+    def held(batches):
+        for _ in batches:
+            yield pa.record_batch([pa.array([len(tokenizing._encoders)])], names=["n"])
+
+    assert {r.n for r in spark.range(0, 32, 1, 8).mapInArrow(held, "n long").collect()} == {0}
+
+
+def test_lean_hands_over_every_row_in_small_batches():
+    batches = [pa.record_batch([pa.array(range(n))], names=["x"]) for n in (0, 1, 10, 25)]
+    sizes, rows = [], []
+    for b in workers.lean(lambda some: (sizes.append(len(x)) or x for x in some), 10)(iter(batches)):
+        rows += b.column("x").to_pylist()
+    assert rows == [x for b in batches for x in b.column("x").to_pylist()] and max(sizes) == 10
