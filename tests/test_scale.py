@@ -1,9 +1,13 @@
 """Steps whose work must grow with their input, against the plain way of doing them."""
 
+from collections import Counter
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from stemloom.operators import compare, corpus
+from stemloom.plans import text_queries
 from stemloom.scratch import Scratch
 
 
@@ -30,3 +34,28 @@ def test_bounded_pairs_are_all_pairs(spark, metric, other):
     met = compare._bounded(s, t, p, least - 1e-6)
     got = {(r.sdoc, r.tdoc) for r in met.collect()}
     assert got >= {(r.sdoc, r.tdoc) for r in plain} and len(got) < s.select("sdoc").distinct().count() * t.select("tdoc").distinct().count() / 4
+
+
+ODD = [
+    (1, "arma arme arms\n\nvirum 12 cano viri", "en", "src0"), (1, "arma arme arms\n\nvirum 12 cano viri", "en", "src0"),
+    (2, "una\nduo tria", "en", "src0"), (2, "quattuor una\nunius duo", "fr", "src1"), (None, "solus", "en", "src0"),
+    (3, "\n".join(["", "a b"] * 50001), "en", "src0"), (4, "b c\nd", "en", "src1"), (5, "", "en", "src0"), (6, None, "en", "src0"), (7, "12 34 (a)", "de", "src2"),
+]
+
+
+@pytest.mark.parametrize("name", ["term_vectors", "stem_index", "stem_frequencies", "lexicon_lookup"])
+def test_repeated_and_missing_ids(spark, tmp_path, name):
+    """Ids that repeat, as a document of more than 100 000 lines makes them too, and null ones, count as in SQL."""
+    spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = text_queries.QUERIES[name](spark, str(tmp_path))
+    rows = con.execute(text_queries.SQL[name]).fetchall()
+    assert Counter(map(tuple, got.select(*[c[0] for c in con.description]).collect())) == Counter(rows)
+
+
+@pytest.mark.parametrize("name", ["term_vectors", "stem_index"])
+def test_tokens_are_not_dealt_out(spark, name):
+    """What is counted once a passage leaves its row as counts or distinct stems alone."""
+    plan = text_queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and "hashpartitioning(seg_id" not in plan
