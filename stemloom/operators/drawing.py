@@ -49,24 +49,27 @@ def stacked_area(df: DataFrame) -> DataFrame:
     return S.with_value(d, F.col("_t")).withColumn("options", F.when(adds, more).otherwise(F.col("options"))).select(*S.COLUMNS)
 
 
-def y_range(df: DataFrame, stacked: bool = False, nulls_as_zero: bool = False, low: float | None = None, high: float | None = None, limit: float | None = None) -> DataFrame:
+def y_range(df: DataFrame, stacked: bool = False, nulls_as_zero: bool = False, low: float | None = None, high: float | None = None, limit: float | None = None, drawn: bool = True) -> DataFrame:
     """(low, high), one row: of finite values, 0 and 1 where there are none; of a stack up to the largest sum.
 
-    low, high: given ends; limit: no higher than that. The top lies above the bottom by 1 at least where it would not."""
+    low, high: given ends; limit: no higher than that. The top lies above the bottom by 1 at least where it would not.
+    drawn=False gives the ends as they are found: null where there are none, and a top at or below the bottom as it is."""
     seen = df.where(~_marked("drawAsInfinite")).withColumn("value", finite(F.col("value")))
     least = F.min("value")
     if nulls_as_zero:
         least = F.when(F.max(F.col("value").isNull()), F.lit(0.0)).otherwise(least)
     if stacked:
-        at = seen.groupBy("ts").agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("s"), F.min("value").alias("m"), F.max(F.col("value").isNull()).alias("gap"))
+        at = seen.groupBy("ts").agg((F.coalesce(F.sum("value"), F.lit(0.0)) if drawn else F.sum("value")).alias("s"), F.min("value").alias("m"), F.max(F.col("value").isNull()).alias("gap"))
         bottom = F.when(F.max("gap"), F.lit(0.0)).otherwise(F.min("m")) if nulls_as_zero else F.min("m")
         ends = at.agg(bottom.alias("low"), F.max("s").alias("high"))
     else:
         ends = seen.agg(least.alias("low"), F.max("value").alias("high"))
-    bottom, top = F.coalesce("low", F.lit(0.0)), F.coalesce("high", F.lit(1.0))
+    bottom, top = (F.coalesce("low", F.lit(0.0)), F.coalesce("high", F.lit(1.0))) if drawn else (F.col("low"), F.col("high"))
     top = F.lit(float(high)) if high is not None else top
     top = F.least(top, F.lit(float(limit))) if limit is not None else top
     bottom = F.lit(float(low)) if low is not None else bottom
+    if not drawn:
+        return ends.select(bottom.alias("low"), top.alias("high"))
     return ends.select(bottom.alias("low"), F.when(top <= bottom, bottom + 1).otherwise(top).alias("high"))
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stemloom.operators import compare, corpus
-from stemloom.plans import text_queries
+from stemloom.plans import more_queries, text_queries
 from stemloom.scratch import Scratch
 
 
@@ -59,3 +59,13 @@ def test_tokens_are_not_dealt_out(spark, name):
     """What is counted once a passage leaves its row as counts or distinct stems alone."""
     plan = text_queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan and "hashpartitioning(seg_id" not in plan
+
+
+def test_y_range_of_dense_series(spark, tmp_path):
+    """Without a gap the least value may lie above the limit; the query shows both as they are, as its SQL does."""
+    d = spark.range(720).select(F.col("id").alias("event_id"), F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, cast(id AS int))").alias("ts"), F.lit(0).cast("long").alias("user_id"), F.lit("click").alias("event_type"), (F.col("id") + 200.0).alias("value"))
+    d.write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    got = sorted(map(tuple, more_queries.QUERIES["draw_y_range"](spark, str(tmp_path)).select("low", "high").collect()))
+    assert got == sorted(con.execute(more_queries.SQL["draw_y_range"]).fetchall()) and (200.0, 100.0) in got
